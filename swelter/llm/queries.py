@@ -1,11 +1,13 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import bpe, exact_dedup, mixing, packing, quality_rules, sharding, token_counts, warc
+from . import bpe, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_warc": warc.op3_warc,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality_rules.op8_quality_rules,

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Joins of at most so many rows are left whole: one task can hold them all.
+SMALL_JOIN = 50_000
 
 _own: dict[str, str] = {}
 
@@ -51,6 +53,8 @@ def join_split_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size_col
     """Inner join of rows with one row a group. Groups holding over 1/HOT_SHARE of `total` rows are
     joined by broadcast, of which there are fewer than HOT_SHARE; the others by a shuffle on the keys,
     where no key can then hold more than that share."""
+    if total <= SMALL_JOIN:
+        return rows.join(groups, keys)
     is_hot = F.col(size_col) * HOT_SHARE > F.lit(total)
     hot = groups.where(is_hot)
     if not hot.head(1):
