@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import scratch
 
 #: Entries of each of the two generations of a worker's cache.
-CACHE = 500_000
+CACHE = 1_000_000
 #: A whitespace character before a space: only such texts need the pattern to find their chunks.
 _RUN = re.compile(r"\s ")
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -65,71 +65,77 @@ class Codec:
         ids = [byte_ids[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
+        # a bucket is one position, or a list of several
+        buckets: dict[int, int | list[int]] = {}
         words: dict[int, int] = {}
         top = 0
         left = ids[0] if n else 0
-        for i in range(1, n):
-            right = ids[i]
+        for i in range(n - 1):
+            right = ids[i + 1]
             rank = rank_of_pair((left << shift) | right)
             left = right
-            if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(i - 1)
+            if rank is None:
+                continue
+            if rank in buckets:
+                held = buckets[rank]
+                if held.__class__ is int:
+                    buckets[rank] = [held, i]
                 else:
-                    buckets[rank] = [i - 1]
-                    w = rank >> 8
-                    words[w] = words.get(w, 0) | bit[rank & 255]
-                    top |= bit[w]
+                    held.append(i)
+            else:
+                buckets[rank] = i
+                w = rank >> 8
+                words[w] = words.get(w, 0) | bit[rank & 255]
+                top |= bit[w]
         while top:
             # find first set, level by level
             w = (top & -top).bit_length() - 1
-            low = words[w] & -words[w]
+            word = words[w]
+            low = word & -word
             rank = (w << 8) + low.bit_length() - 1
-            words[w] ^= low
-            if not words[w]:
+            words[w] = word = word ^ low
+            if not word:
                 top ^= bit[w]
             bucket = buckets.pop(rank)
-            if len(bucket) > 1:
+            if bucket.__class__ is int:
+                bucket = (bucket,)
+            else:
                 bucket.sort()
-            for k, i in enumerate(bucket):
+            for i in bucket:
                 j = after[i]
                 if j >= n or ids[i] < 0 or rank_of_pair((ids[i] << shift) | ids[j]) != rank:
                     continue  # stale
                 ids[i], ids[j] = rank, -1
                 after[i] = j = after[j]
-                lowest = rank
-                h = before[i]
+                made = []
                 if j < n:
                     before[j] = i
                     new = rank_of_pair((rank << shift) | ids[j])
                     if new is not None:
-                        if new < lowest:
-                            lowest = new
-                        if new in buckets:
-                            buckets[new].append(i)
-                        else:
-                            buckets[new] = [i]
-                            w = new >> 8
-                            words[w] = words.get(w, 0) | bit[new & 255]
-                            top |= bit[w]
+                        made.append((new, i))
+                h = before[i]
                 if h >= 0:
                     new = rank_of_pair((ids[h] << shift) | rank)
                     if new is not None:
-                        if new < lowest:
-                            lowest = new
-                        if new in buckets:
-                            buckets[new].append(h)
+                        made.append((new, h))
+                if not made:
+                    continue
+                if len(bucket) > 1 and min(made)[0] < rank:  # a lower rank has come up and goes first
+                    made += [(rank, k) for k in bucket if k > i]
+                    bucket = ()
+                for new, k in made:
+                    if new in buckets:
+                        held = buckets[new]
+                        if held.__class__ is int:
+                            buckets[new] = [held, k]
                         else:
-                            buckets[new] = [h]
-                            w = new >> 8
-                            words[w] = words.get(w, 0) | bit[new & 255]
-                            top |= bit[w]
-                if lowest < rank and k + 1 < len(bucket):  # a lower rank has come up and goes first
-                    buckets[rank] = bucket[k + 1 :]
-                    w = rank >> 8
-                    words[w] = words.get(w, 0) | bit[rank & 255]
-                    top |= bit[w]
+                            held.append(k)
+                    else:
+                        buckets[new] = k
+                        w = new >> 8
+                        words[w] = words.get(w, 0) | bit[new & 255]
+                        top |= bit[w]
+                if not bucket:
                     break
         return [x for x in ids if x >= 0]
 
