@@ -17,7 +17,7 @@ READINGS = """SELECT l_returnflag AS city, CAST(l_shipdate AS DATE) AS date, l_l
 FROM lineitem"""
 
 #: A gappy daily series from orders.
-SERIES = "SELECT o_orderpriority AS city, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 7e0 AS v, count(*) AS n_obs FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)"
+SERIES = "SELECT o_orderpriority AS city, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 6.2831853e0 AS v, count(*) AS n_obs FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)"
 
 #: A cohort from customers and their orders.
 COHORT = """SELECT o_custkey AS ext_genid, concat('wave', lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR(9)), 4, '0')) AS redcap_event_name,
