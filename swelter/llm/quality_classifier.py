@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: Scores from this on are predicted 1; ridge; Newton steps at most; the step's size that ends them.
-CUT, RIDGE, STEPS, DONE = 0.7, 1e-4, 12, 1e-4
+CUT, RIDGE, STEPS, DONE = 0.7, 0.03, 14, 1e-4
 _SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-N_FEATURES = len(_SYMBOLS) + 13
+N_FEATURES = 2 * (len(_SYMBOLS) + 5) + 8
 
 
 def features(text: str):
@@ -43,15 +43,14 @@ def features(text: str):
     lines = raw.split(b"\n")
     upper, lower, digits = count[65:91].sum(), count[97:123].sum(), count[48:58].sum()
     shout = sum(map(bytes.isupper, words))
-    rate = lambda x, of: np.log1p(100 * x / max(1, of))
-    return np.array(
-        [rate(count[s], k) for s in _SYMBOLS]
-        + [
-            rate(upper, upper + lower), rate(digits, n), rate(count[128:].sum(), n), rate(count[:32].sum(), n), rate(shout, k),
-            np.log1p(len(words)), np.log(n / k), rate(len(set(words)), k), rate(len(lines) - len(set(lines)), len(lines)), np.log1p(k / len(lines)),
-            1.0 if len(words) < 20 else 0.0, 1.0 if len(words) < 5 else 0.0, rate(sum(count[s] for s in b"#*$%&|<>"), k),
-        ]
-    )
+    shares = np.array(
+        [count[c] / k for c in _SYMBOLS] + [upper / max(1, upper + lower), digits / n, count[128:].sum() / n, count[:32].sum() / n, shout / k]
+    )
+    rest = [
+        np.log1p(len(words)), np.log(n / k), np.log1p(100 * len(set(words)) / k), np.log1p(100 - 100 * len(set(lines)) / len(lines)), np.log1p(k / len(lines)),
+        float(len(words) < 20), float(len(words) < 5), np.log1p(100 * sum(count[c] for c in b"#*$%&|<>") / k),
+    ]
+    return np.concatenate([np.log1p(100 * shares), np.minimum(shares, 1), rest])
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
