@@ -61,13 +61,14 @@ def flag_long_gaps(df: DataFrame, present: str = "n_obs", longest: int = 3, keys
 
 def interpolate_gaps(df: DataFrame, columns: list[str], present: str = "n_obs", keys=("city",), date: str = "date") -> DataFrame:
     """Linear interpolation on missing days in short gaps (needs long_gap), between the nearest values on either side
-    of each column. Days that were there keep their nulls, and nothing is extrapolated. All frames share one sort."""
+    of each column. Days that were there keep their nulls, and nothing is extrapolated. Both sides are running frames, the
+    later one over falling dates: a frame that ends with the partition would cost the square of a series' length."""
     before = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(date).rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)
     fill = F.col(present).isNull() & ~F.col("long_gap")
     day = F.unix_date(date)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), day.alias("d"))) for c in columns}
-    df = df.withColumns({f"__p_{c}": F.last(x, ignorenulls=True).over(before) for c, x in known.items()} | {f"__n_{c}": F.first(x, ignorenulls=True).over(after) for c, x in known.items()})
+    df = df.withColumns({f"__p_{c}": F.last(x, ignorenulls=True).over(before) for c, x in known.items()} | {f"__n_{c}": F.last(x, ignorenulls=True).over(after) for c, x in known.items()})
 
     def value(c):
         p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
