@@ -9,9 +9,9 @@ any alignment good enough must keep to, and the longest run of matches in order
 similarity = matched / (all - matched). Links of THRESHOLD or more make classes (connected components).
 
 Exact copies (equal words) are grouped first, so buckets hold different texts only. A bucket is a star,
-not all its pairs: its members are compared with its least member; then, in rounds, members outside the
-leader's class are compared with other leaders, and at last all pairs across classes that share several
-keys are compared (see `all_across`).
+not all its pairs: its members are compared with its least member. Buckets that then still hold several
+classes get a second round, in which a member drawn by hash is compared with those outside its class, and a
+last one, in which all pairs across classes that share several keys are compared (see `all_across`).
 
 Nulls: a null text counts as empty; texts without words are copies of each other, and texts of under five words
 are near only to equal ones. A null doc_id is the smallest. Repeated rows are copies. Empty tables give
@@ -32,9 +32,8 @@ from . import scratch
 SHINGLE, THRESHOLD = 5, 0.8
 #: Keys a document, shingles a key; short documents (up to SHORT shingles) have keys of two as well.
 HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
-#: Rounds after the stars, and the steps between the keys that the last round joins on.
-ROUNDS = 3
-STEPS = [(d, e) for d in (1, 5, 11, 23) for e in (2, 9, 17, 37)]
+#: The last round joins on three keys at these steps from each other.
+STEPS = [(d, e) for d in (1, 11) for e in (2, 9, 17, 37)]
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -196,34 +195,30 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """node, root of every node in a link (a, b): root is its component's least node. Large and small stars
-    in turn; each is a grouped minimum and a join in which hubs are split off."""
+    in turn until nothing changes; each is a grouped minimum and a join in which hubs are split off."""
     edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def mark(e):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(e, large):
-        around = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select("u", "v")
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        total = 2 * seen[0] if large else seen[0]
-        rows = scratch.join_split_hot(around, scratch.written(least, "least"), ["u"], "n", total)
+    def star(e, large, total):
+        around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        rows = scratch.join_split_hot(around, least, ["u"], "n", total)
         if large:
             new = rows.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
-            new = rows.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(rows.select("u", F.col("m").alias("v")))
-        return scratch.written(new.where("u <> v").distinct(), "edges")
+            new = rows.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        return new.where("u <> v").distinct()
 
     seen = mark(edges)
     while seen[0]:
-        edges = star(edges, True)
-        seen_large = mark(edges)
-        seen, before = seen_large, seen
-        edges = star(edges, False)
-        seen = mark(edges)
+        edges = scratch.written(star(star(edges, True, 2 * seen[0]), False, 2 * seen[0]), "edges")
+        seen, before = mark(edges), seen
         if seen == before:
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return scratch.written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
 def _spread(keys):
@@ -234,7 +229,10 @@ def stars(keyed: DataFrame) -> DataFrame:
     """First round: every bucket's least node against its other members. keyed: node, n_shingles, keys."""
     rows = keyed.select("node", "n_shingles", _spread("keys")).drop("place")
     led = rows.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _against_leaders(rows, led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a")), [])
+    led = scratch.written(led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a")), "leaders")
+    total = led.agg(F.sum("n")).first()[0] or 0
+    pairs = scratch.join_split_hot(rows, led, ["key"], "n", total).where("node <> a").where(_lengths("n_a", "n_shingles"))
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -246,20 +244,13 @@ def open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     return scratch.written(scratch.join_split_hot(rows, several, ["key"], "n", total).drop("n"), "open-rows")
 
 
-def new_leaders(open_: DataFrame, salt: int) -> DataFrame:
-    """Later rounds: a leader drawn by hash in each open bucket against the members outside its class."""
-    pick = F.struct(F.xxhash64("node", F.lit(salt)).alias("p"), "node", "n_shingles", "root")
+def new_leaders(open_: DataFrame) -> DataFrame:
+    """Second round: a leader drawn by hash in each open bucket against the members outside its class."""
+    pick = F.struct(F.xxhash64("node", F.lit(1)).alias("p"), "node", "n_shingles", "root")
     led = open_.groupBy("key").agg(F.min(pick).alias("lead"), F.count(F.lit(1)).alias("n"))
     led = led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a"), F.col("lead.root").alias("root_a"))
-    return _against_leaders(open_.select("node", "n_shingles", "root", "key"), led, [F.col("root") != F.col("root_a")])
-
-
-def _against_leaders(rows: DataFrame, led: DataFrame, also: list) -> DataFrame:
-    led = scratch.written(led, "leaders")
-    total = led.agg(F.sum("n")).first()[0] or 0
-    pairs = scratch.join_split_hot(rows, led, ["key"], "n", total).where("node <> a").where(_lengths("n_a", "n_shingles"))
-    for condition in also:
-        pairs = pairs.where(condition)
+    rows = scratch.join_split_hot(open_.select("node", "n_shingles", "root", "key"), led, ["key"], "n", open_.count())
+    pairs = rows.where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles"))
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
@@ -270,11 +261,13 @@ def _lengths(a: str, b: str):
 
 def all_across(open_: DataFrame) -> DataFrame:
     """Last round, with no leaders: all pairs across classes that share three keys which stand at one of the STEPS
-    from each other. Nodes over the threshold share about eleven of 64 keys, so they do; others rarely do."""
+    from each other. Nodes over the threshold share eleven of 64 keys and more, so they do; others rarely do."""
     at = F.map_from_entries(F.collect_list(F.struct("place", "key")))
     nodes = open_.groupBy("node", "root", "n_shingles").agg(at.alias("at"))  # at most one entry a key: bounded
     entry = lambda i: F.try_element_at("at", i)
-    places = F.filter(F.map_keys("at"), lambda i: i < HASHES)
+    # texts too short for a whole tuple have only keys of two shingles, which join as they are
+    is_pair = lambda i: (i >= HASHES) | (F.col("n_shingles") < TUPLE)
+    places = F.filter(F.map_keys("at"), lambda i: ~is_pair(i))
 
     def triples(d, e):
         second, third = lambda i: entry(F.pmod(i + d, F.lit(HASHES))), lambda i: entry(F.pmod(i + e, F.lit(HASHES)))
@@ -282,7 +275,7 @@ def all_across(open_: DataFrame) -> DataFrame:
         return F.transform(held, lambda i: F.xxhash64(entry(i), second(i), third(i), F.lit(d * 100 + e)))
 
     of = [triples(d, e) for d, e in STEPS]
-    small = F.transform(F.filter(F.map_keys("at"), lambda i: i >= HASHES), lambda i: F.try_element_at("at", i))  # keys of short texts, as they are
+    small = F.transform(F.filter(F.map_keys("at"), is_pair), entry)
     wide = scratch.written(nodes.select("node", "root", "n_shingles", F.explode(F.flatten(F.array(*of, small))).alias("key")), "triples")
     side = lambda k: wide.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     both = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & _lengths("n_a", "n_b"))
@@ -302,14 +295,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     seqs = rows.select(F.col("row_id").alias("node"), "seq")
     links = scratch.written(verify(scratch.written(stars(keyed), "pairs"), seqs), "links")
-    roots = components(links)
-    for salt in range(1, ROUNDS + 1):
-        open_ = open_rows(keyed, roots)
-        pairs = new_leaders(open_, salt) if salt < ROUNDS else all_across(open_)
-        more = scratch.written(verify(scratch.written(pairs, "pairs"), seqs), "links")
+    roots = scratch.written(components(links), "roots")
+    for across in (new_leaders, all_across):
+        more = scratch.written(verify(scratch.written(across(open_rows(keyed, roots)), "pairs"), seqs), "links")
         if more.head(1):
             links = links.unionByName(more)
-            roots = components(links)
+            roots = scratch.written(components(links), "roots")
     # every text's class, with its least document and number of rows
     texts = groups.join(roots, F.col("best.row_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "best.row_id"))
     sizes = texts.groupBy("root").agg(F.min("best").alias("first"), F.sum("many").alias("class_size"), F.count(F.lit(1)).alias("n"))
