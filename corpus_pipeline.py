@@ -35,7 +35,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    # executors hold the memory of earlier stages too, so the workers' caches are kept small
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True, cache=100_000)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", encode)]

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from . import scratch
 
-#: Entries of each of the two generations of a worker's cache.
-CACHE = 1_000_000
+#: Entries of each of the two generations of a worker's cache (about 200 bytes each), unless a caller says otherwise.
+CACHE = 500_000
 #: A whitespace character before a space: only such texts need the pattern to find their chunks.
 _RUN = re.compile(r"\s ")
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -31,11 +31,11 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 class Codec:
     """Encoder and decoder for a rank file (lines of base64 bytes and rank) and a splitting pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes, pattern: str, cache: int = CACHE):
         import numpy as np
         import regex
 
-        self.numpy = np
+        self.numpy, self.cache = np, cache
         self.split = regex.compile(pattern).findall
         self.rank_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         top = max(self.rank_of.values())
@@ -152,7 +152,7 @@ class Codec:
             else:
                 ids = b"".join([self._look_up(p, False) for p in parts])
         if len(chunk) < 64:
-            if len(self.new) >= CACHE:
+            if len(self.new) >= self.cache:
                 self.old, self.new = self.new, {}
             self.new[chunk] = ids
         return ids
@@ -185,11 +185,11 @@ class Codec:
 _codecs: dict[bytes, Codec] = {}
 
 
-def codec_for(rank_file: bytes, pattern: str) -> Codec:
+def codec_for(rank_file: bytes, pattern: str, cache: int = CACHE) -> Codec:
     """A worker's codec, kept from task to task."""
     key = hashlib.sha256(rank_file + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
+    if key not in _codecs or _codecs[key].cache != cache:
+        _codecs[key] = Codec(rank_file, pattern, cache)
     return _codecs[key]
 
 
@@ -237,7 +237,7 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_bytes binary")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the bytes that the ids decode to), and ids if asked for."""
     import pyarrow as pa
@@ -246,7 +246,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(ranks.value, pattern)
+        codec = codec_for(ranks.value, pattern, cache)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
