@@ -9,9 +9,11 @@ any alignment good enough must keep to, and the longest run of matches in order
 similarity = matched / (all - matched). Links of THRESHOLD or more make classes (connected components).
 
 Exact copies (equal words) are grouped first, so buckets hold different texts only. A bucket is a star,
-not all its pairs: its members are compared with its least member. Buckets that then still hold several
-classes get a second round, in which a member drawn by hash is compared with those outside its class, and a
-last one, in which all pairs across classes that share several keys are compared (see `all_across`).
+not all its pairs: its members are compared with its least member, which then retires from it. Buckets that
+still hold several classes go on in leader rounds (see `leader_round`): members outside a bucket's largest
+class are compared with all others outside their own class and retire, until no bucket holds two classes. So
+two texts of different classes that share a key have been compared, or their lengths or parity bits, which
+bound what they share, rule a link out.
 
 Nulls: a null text counts as empty; texts without words are copies of each other, and texts of under five words
 are near only to equal ones. A null doc_id is the smallest. Repeated rows are copies. Empty tables give
@@ -32,8 +34,10 @@ from . import scratch
 SHINGLE, THRESHOLD = 5, 0.8
 #: Keys a document, shingles a key; short documents (up to SHORT shingles) have keys of two as well.
 HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
-#: The last round joins on three keys at these steps from each other.
-STEPS = [(d, e) for d in (1, 11) for e in (2, 9, 17, 37)]
+#: Leaders a bucket in the first leader round, about; further rounds have twice as many, up to the second number.
+LEADERS, MOST_LEADERS = 16, 256
+#: Longs of a text's parity bits.
+PARITY = 8
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -99,6 +103,15 @@ def order_minhash(x, hashes: int, size: int, salt: int):
     return np.concatenate(out).view(np.int64)
 
 
+def parity_bits(x):
+    """PARITY longs: bit k says whether an odd number of shingles fall to it. The bits in which two texts differ are
+    no more than the shingles that only one of them has."""
+    import numpy as np
+
+    odd = np.bincount((x & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(x, y, threshold: float = THRESHOLD) -> float:
     """Aligned share of two shingle sequences, 0 where it is surely under the threshold."""
     import numpy as np
@@ -136,7 +149,7 @@ def _longest_rising(values: list[int]) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the words), seq (16-bit word hashes), n_shingles and keys of every document."""
+    """doc_id, digest (of the words), seq (16-bit word hashes), n_shingles, parity and keys of every document."""
     import pyarrow as pa
 
     scratch.ship(docs.sparkSession)
@@ -148,7 +161,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                digests, seqs, counts, keys = [], [], [], []
+                digests, seqs, counts, parities, keys = [], [], [], [], []
                 for t in part.column(1):
                     words = words_of(t.as_py() or "")
                     digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
@@ -156,18 +169,22 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     x = shingles(seq)
                     seqs.append(seq.tobytes())
                     counts.append(len(x))
+                    parities.append(parity_bits(x))
                     k = order_minhash(x, HASHES, TUPLE, 1)
                     if 0 < len(x) <= SHORT:
                         k = np.concatenate([k, order_minhash(x, SHORT_HASHES, 2, 2)])
                     keys.append(k)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                bits = np.array(parities).reshape(-1, PARITY)
+                parity = pa.StructArray.from_arrays([pa.array(bits[:, k], pa.int64()) for k in range(PARITY)], [f"p{k}" for k in range(PARITY)])
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array(seqs, pa.binary()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-                    ["doc_id", "digest", "seq", "n_shingles", "keys"],
+                    [part.column(0), pa.array(digests, pa.binary()), pa.array(seqs, pa.binary()), pa.array(counts, pa.int64()), parity, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
+                    ["doc_id", "digest", "seq", "n_shingles", "parity", "keys"],
                 )
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, digest binary, seq binary, n_shingles long, keys array<long>")
+    longs = ", ".join(f"p{k}: long" for k in range(PARITY))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, digest binary, seq binary, n_shingles long, parity struct<{longs}>, keys array<long>")
 
 
 def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,13 +238,9 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def _spread(keys):
-    return F.posexplode(keys).alias("place", "key")
-
-
 def stars(keyed: DataFrame) -> DataFrame:
     """First round: every bucket's least node against its other members. keyed: node, n_shingles, keys."""
-    rows = keyed.select("node", "n_shingles", _spread("keys")).drop("place")
+    rows = keyed.select("node", "n_shingles", F.explode("keys").alias("key"))
     led = rows.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     led = scratch.written(led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a")), "leaders")
     total = led.agg(F.sum("n")).first()[0] or 0
@@ -236,22 +249,34 @@ def stars(keyed: DataFrame) -> DataFrame:
 
 
 def open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root, n_shingles, place, key: members of the buckets that hold several classes."""
-    rows = keyed.select("node", "n_shingles", _spread("keys")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    several = scratch.written(several.select("key", "n"), "open")
+    """node, root, n_shingles, parity, key: members of the buckets that hold several classes, without the stars' leaders."""
+    rows = keyed.select("node", "n_shingles", F.explode("keys").alias("key")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("n"))
+    several = scratch.written(several.where("low <> high AND n > 2").select("key", "lead", "n"), "open")
     total = several.agg(F.sum("n")).first()[0] or 0
-    return scratch.written(scratch.join_split_hot(rows, several, ["key"], "n", total).drop("n"), "open-rows")
-
-
-def new_leaders(open_: DataFrame) -> DataFrame:
-    """Second round: a leader drawn by hash in each open bucket against the members outside its class."""
-    pick = F.struct(F.xxhash64("node", F.lit(1)).alias("p"), "node", "n_shingles", "root")
-    led = open_.groupBy("key").agg(F.min(pick).alias("lead"), F.count(F.lit(1)).alias("n"))
-    led = led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a"), F.col("lead.root").alias("root_a"))
-    rows = scratch.join_split_hot(open_.select("node", "n_shingles", "root", "key"), led, ["key"], "n", open_.count())
-    pairs = rows.where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles"))
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    members = scratch.written(scratch.join_split_hot(rows, several, ["key"], "n", total).where("node <> lead").select("node", "root", "n_shingles", "key"), "open-rows")
+    return members.join(keyed.select("node", "parity"), "node")
+
+
+def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows that are left). About `most` members outside a bucket's largest class, or all if they are no more,
+    are paired with the members outside their own class and retire from the bucket; a bucket of one class is closed.
+    At most about `most` pairs a row come up, and hot buckets' members stay where they are."""
+    shares = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+    buckets = scratch.written(buckets.select("key", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("others")).where("others > 0"), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    chance = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # the node's own, so that its buckets agree
+    leads = (F.col("root") != F.col("main")) & (chance * F.col("others") < most)
+    rows = scratch.written(scratch.join_split_hot(open_, buckets, ["key"], "n", total).withColumn("leads", leads).drop("main", "others"), "open-rows")
+    led = rows.where("leads").select("key", "n", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"), F.col("parity").alias("parity_a"))
+    rows = rows.drop("n")
+    # two texts at the threshold have this share of their shingles unmatched at most
+    differ = sum(F.bit_count(F.col(f"parity.p{k}").bitwiseXOR(F.col(f"parity_a.p{k}"))) for k in range(PARITY))
+    few = differ <= (F.col("n_a") + F.col("n_shingles")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
+    both = scratch.join_split_hot(rows, led, ["key"], "n", total).where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles") & few)
+    pairs = both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return pairs, rows.where("NOT leads").drop("leads")
 
 
 def _lengths(a: str, b: str):
@@ -259,29 +284,6 @@ def _lengths(a: str, b: str):
     return F.least(a, b) >= THRESHOLD * F.greatest(a, b) - 1e-9
 
 
-def all_across(open_: DataFrame) -> DataFrame:
-    """Last round, with no leaders: all pairs across classes that share three keys which stand at one of the STEPS
-    from each other. Nodes over the threshold share eleven of 64 keys and more, so they do; others rarely do."""
-    at = F.map_from_entries(F.collect_list(F.struct("place", "key")))
-    nodes = open_.groupBy("node", "root", "n_shingles").agg(at.alias("at"))  # at most one entry a key: bounded
-    entry = lambda i: F.try_element_at("at", i)
-    # texts too short for a whole tuple have only keys of two shingles, which join as they are
-    is_pair = lambda i: (i >= HASHES) | (F.col("n_shingles") < TUPLE)
-    places = F.filter(F.map_keys("at"), lambda i: ~is_pair(i))
-
-    def triples(d, e):
-        second, third = lambda i: entry(F.pmod(i + d, F.lit(HASHES))), lambda i: entry(F.pmod(i + e, F.lit(HASHES)))
-        held = F.filter(places, lambda i: second(i).isNotNull() & third(i).isNotNull())
-        return F.transform(held, lambda i: F.xxhash64(entry(i), second(i), third(i), F.lit(d * 100 + e)))
-
-    of = [triples(d, e) for d, e in STEPS]
-    small = F.transform(F.filter(F.map_keys("at"), is_pair), entry)
-    wide = scratch.written(nodes.select("node", "root", "n_shingles", F.explode(F.flatten(F.array(*of, small))).alias("key")), "triples")
-    side = lambda k: wide.select("key", F.col("node").alias(k), F.col("root").alias(f"root_{k}"), F.col("n_shingles").alias(f"n_{k}"))
-    both = side("a").join(side("b"), "key").where((F.col("root_a") < F.col("root_b")) & _lengths("n_a", "n_b"))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_id, digest, class_id (the least doc_id of its class), class_size, and
     kept (true for one row of each class, which has that doc_id)."""
@@ -291,16 +293,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     nodes = groups.select(F.col("best.row_id").alias("row_id"))
     keyed = scratch.written(
-        rows.where("n_shingles > 0").select("row_id", "n_shingles", "keys").join(nodes, "row_id", "left_semi").withColumnRenamed("row_id", "node"), "keys"
+        rows.where("n_shingles > 0").select("row_id", "n_shingles", "parity", "keys").join(nodes, "row_id", "left_semi").withColumnRenamed("row_id", "node"), "keys"
     )
     seqs = rows.select(F.col("row_id").alias("node"), "seq")
-    links = scratch.written(verify(scratch.written(stars(keyed), "pairs"), seqs), "links")
+    tried = scratch.written(stars(keyed), "pairs")
+    links = scratch.written(verify(tried, seqs), "links")
     roots = scratch.written(components(links), "roots")
-    for across in (new_leaders, all_across):
-        more = scratch.written(verify(scratch.written(across(open_rows(keyed, roots)), "pairs"), seqs), "links")
+    open_, most, salt = open_rows(keyed, roots), LEADERS, 1
+    while open_.head(1):
+        pairs, open_ = leader_round(open_, most, salt)
+        pairs = scratch.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = scratch.written(verify(pairs, seqs), "links")
         if more.head(1):
-            links = links.unionByName(more)
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more)
             roots = scratch.written(components(links), "roots")
+            open_ = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tried, most, salt = tried.unionByName(pairs), min(2 * most, MOST_LEADERS), salt + 1
     # every text's class, with its least document and number of rows
     texts = groups.join(roots, F.col("best.row_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "best.row_id"))
     sizes = texts.groupBy("root").agg(F.min("best").alias("first"), F.sum("many").alias("class_size"), F.count(F.lit(1)).alias("n"))

@@ -485,6 +485,51 @@ def test_near_edge_cases(spark, edge, empty):
     assert n.classes(empty).count() == 0 and n.drop_near_copies(empty).count() == 0
 
 
+def test_links_in_a_crowd_at_the_threshold(spark):
+    """Texts of 225 shingles with words of their own in some of 45 places, each of which decides five shingles: two texts
+    that differ in five places are at 0.8. 100 pairs are, in a crowd of 600 at about 0.7."""
+    import numpy as np
+
+    from swelter.llm import near_dedup as n
+
+    r = random.Random(5)
+    base, own = [f"w{k}" for k in range(229)], np.zeros((700, 45), int)
+    for k in range(600):
+        own[k, r.sample(range(45), 4)] = k + 1
+    for k in range(600, 700):
+        own[k] = own[k - 600]
+        own[k, r.sample([at for at in range(45) if not own[k, at]], 5)] = k + 1
+    rows = []
+    for k in range(700):
+        words = list(base)
+        for at in np.flatnonzero(own[k]):
+            words[4 + 5 * at] = f"x{own[k, at]}y{at}"
+        rows.append((k, " ".join(words), "s"))
+    # places are compared by the 16 bits that the library keeps of a word
+    least, seen = list(range(700)), np.array([n.sequence(n.words_of(t))[4::5] for _, t, _ in rows])
+    for i in range(700):
+        for j in np.flatnonzero((seen[:i] != seen[i]).sum(1) <= 5):
+            a, b = sorted((least[i], least[j]))
+            least = [a if c == b else c for c in least]
+    assert 300 < len(set(least)) < 601
+    got = n.classes(docs_of(spark, rows)).collect()
+    assert {y.doc_id: y.class_id for y in got} == dict(enumerate(least))
+
+
+def test_parity_bits_bound_what_differs():
+    import numpy as np
+
+    from swelter.llm import near_dedup as n
+
+    r = np.random.default_rng(3)
+    for size in (0, 1, 30, 3000):
+        for kept in (0, size // 2, size - size // 10, size):
+            x = r.integers(0, 1 << 63, size, np.uint64)
+            y = np.concatenate([x[:kept], r.integers(0, 1 << 63, size // 5, np.uint64)])
+            bits = n.parity_bits(x) ^ n.parity_bits(y)
+            assert len(bits) == n.PARITY and sum(int(b).bit_count() for b in bits.view(np.uint64)) <= len(np.setxor1d(x, y))
+
+
 def test_components_of_a_chain(spark):
     from swelter.llm import near_dedup as n
 
