@@ -321,8 +321,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, all columns as they are. A row goes if its doc_id and words are among those
-    dropped; where a dropped row repeats the doc_id and words of the row that stays, these are reduced to one."""
+    """docs with one row of each class, all columns as they are. Where doc_ids repeat or are null, a row goes if its
+    doc_id and words are among those dropped and not those of a row that stays; rows that repeat these are reduced to one."""
     found = scratch.written(classes(docs, id_col, text_col), "near")
     same = F.col("doc_id").eqNullSafe(F.col("class_id"))
     dropped = found.where(~F.col("kept") & ~same).select(F.col("doc_id").alias("__drop_id")).distinct()
@@ -341,7 +341,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     text_at = docs.columns.index(text_col)
     marked = docs.mapInArrow(run, _with_digest(docs))
-    keys = found.where(~F.col("kept") & ~same).select(F.col("doc_id").alias("__drop_id"), F.col("digest").alias("__drop_digest")).distinct()
+    # a text is in one class, so at most one row of its words is kept
+    stays = found.where("kept").select(F.col("digest").alias("digest"), F.lit(True).alias("stays"))
+    keys = found.where(~F.col("kept")).join(stays, "digest", "left").where(~same | F.col("stays").isNull())
+    keys = keys.select(F.col("doc_id").alias("__drop_id"), F.col("digest").alias("__drop_digest")).distinct()
     rest = marked.join(keys, F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__digest") == F.col("__drop_digest")), "left_anti")
     return (rest.dropDuplicates([id_col, "__digest"]) if repeated.head(1) else rest).drop("__digest")
 

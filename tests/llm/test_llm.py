@@ -530,6 +530,16 @@ def test_parity_bits_bound_what_differs():
             assert len(bits) == n.PARITY and sum(int(b).bit_count() for b in bits.view(np.uint64)) <= len(np.setxor1d(x, y))
 
 
+def test_near_copies_under_one_id_and_under_null(spark):
+    from swelter.llm import near_dedup as n
+
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in (0, 1, 99)]
+    rows = [(1, t, "s") for t in near] + [(None, t.replace("w", "v"), "s") for t in near] + [(2, near[0], "s"), (1, near[0], "s"), (3, "a b c", "s")]
+    kept = n.drop_near_copies(docs_of(spark, rows)).collect()
+    assert sorted(str(x.doc_id) for x in kept) == ["1", "3", "None"]
+
+
 def test_components_of_a_chain(spark):
     from swelter.llm import near_dedup as n
 
