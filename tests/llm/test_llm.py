@@ -540,6 +540,19 @@ def test_near_copies_under_one_id_and_under_null(spark):
     assert sorted(str(x.doc_id) for x in kept) == ["1", "3", "None"]
 
 
+def test_a_leader_round_is_linear_in_a_hot_bucket(spark):
+    """3,000 classes in one bucket: a round makes some 16 pairs a row, and their leaders retire."""
+    from pyspark.sql import functions as F
+
+    from swelter.llm import near_dedup as n
+
+    parity = F.struct(*[F.lit(0).cast("long").alias(f"p{k}") for k in range(n.PARITY)])
+    open_ = spark.range(3000).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(20).cast("long").alias("n_shingles"), F.lit(7).cast("long").alias("key"), parity.alias("parity"))
+    pairs, left = n.leader_round(open_, 16, 1)
+    led = 3000 - left.count()
+    assert 4 < led < 40 and pairs.count() == led * 3000 - led * (led + 1) // 2
+
+
 def test_components_of_a_chain(spark):
     from swelter.llm import near_dedup as n
 
