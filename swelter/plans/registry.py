@@ -400,19 +400,32 @@ def _spearman(spark, d):
     return index.spearman_by_group(rows, "x", "y", ("city",))
 
 
+_PCA_DAILY = ["tmax_daily", "tmin_daily", "tmean_daily", "apparent_temp", "above_p90", "above_p95", "hw_day", "excess_p90", "excess_p95", "tsd_daily", "dtr", "dewpoint_daily", "dewpoint_range_daily", "humidity_mean", "humidity_min", "humidity_max", "pressure_mean", "pressure_range_daily", "radiation_total", "radiation_max", "wind_mean", "wind_max", "wind_gust_max", "precip_total"]
+_PCA_MONTHLY = ["mean_tmax", "max_tmax", "mean_tmean", "mean_apparent", "days_above_p90", "days_above_p95", "hw_days", "degree_days_p90", "degree_days_p95", "sd_tmax", "sd_tmean", "mean_dtr", "sd_dtr", "mean_tsd", "mean_humidity", "min_humidity", "max_humidity", "mean_dewpoint", "mean_dewpoint_range", "total_precip", "dry_days", "max_daily_precip", "mean_pressure", "mean_pressure_range", "mean_radiation", "mean_radiation_peak", "mean_wind", "mean_wind_peak", "mean_gust_peak"]
+
+
+def _daily_z(spark, d) -> DataFrame:
+    rows = _featured(spark, d).withColumns({c: F.col(c).cast("double") for c in ("above_p90", "above_p95", "hw_day")})
+    return features.zscore_within(rows.select("city", "date", *_PCA_DAILY), _PCA_DAILY)
+
+
 @_query("joint_pca_loadings")
 def _pca(spark, d):
     """Loadings, eigenvalues and shares of the daily variables, standardised within stations."""
-    variables = ["tmax_daily", "tmean_daily", "above_p90", "excess_p90", "hw_day", "dewpoint_daily", "humidity_mean", "pressure_mean", "radiation_total", "wind_mean", "precip_total"]
-    rows = _featured(spark, d).withColumns({c: F.col(c).cast("double") for c in ("above_p90", "hw_day")})
-    return pca.fit_pca(features.zscore_within(rows.select("city", "date", *variables), variables), variables)[0]
+    return pca.fit_pca(_daily_z(spark, d), _PCA_DAILY)[0]
+
+
+@_query("joint_pca_monthly_loadings")
+def _pca_monthly(spark, d):
+    """The same of the monthly variables."""
+    rows = features.monthly_features(_featured(spark, d)).select("city", "yr_mo", *_PCA_MONTHLY)
+    return pca.fit_pca(features.zscore_within(rows, _PCA_MONTHLY), _PCA_MONTHLY)[0]
 
 
 @_query("joint_pca_scores")
 def _scores(spark, d):
-    variables = ["tmax_daily", "tmean_daily", "dewpoint_max_daily", "humidity_mean", "pressure_mean", "wind_mean", "precip_total"]
-    rows = features.zscore_within(A.full_daily(spark, d).select("city", "date", *variables), variables)
-    return pca.pca_scores(rows, pca.fit_pca(rows, variables)[1], 4).select("city", "date", "PC1", "PC2", "PC3", "PC4")
+    rows = _daily_z(spark, d)
+    return pca.pca_scores(rows, pca.fit_pca(rows, _PCA_DAILY)[1], 4).select("city", "date", "PC1", "PC2", "PC3", "PC4")
 
 
 _PIV = [f"max(CASE WHEN \"window\" = '{w}' THEN {v} END)" for v in ("hw_count", "coverage_frac") for w in analytical.WINDOWS]

@@ -390,3 +390,12 @@ def test_entry(spark):
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries) and e.entry(spark).count() >= 0
     assert queries["calendar_keys"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_joint_components_take_all_variables(spark):
+    from swelter.plans import registry
+
+    for name, k in (("joint_pca_loadings", 24), ("joint_pca_monthly_loadings", 29)):
+        got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert len(got) == k * k and abs(sum({x.component: x.eigenvalue for x in got}.values()) - k) < k * 1e-6  # each rounded to 6 places
+    assert registry.QUERIES["joint_pca_scores"](spark, "/root/testdata/sf0.001").where("PC4 IS NOT NULL").head(1)
