@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A piece is a linked list of tokens. For each pair that a merge rule joins, its left position lies in
-the bucket of the rule's rank, and a two-level bitmap (one bit a rank, one bit a word of 256 ranks)
-says which buckets are in use. Two find-first-set steps give the lowest rank; its positions are taken
-from the left, and those whose pair has changed meanwhile are stale and skipped.
-A piece of n bytes takes O(n) queue operations however long it is.
+The pieces of a block of texts lie end to end in one linked list of tokens, with no link from piece to piece. For
+each pair that a merge rule joins, its left position lies in the bucket of the rule's rank, and a two-level
+bitmap (one bit a rank, one bit a word of 256 ranks) says which buckets are in use. Two find-first-set steps
+give the lowest rank; its positions are merged from the left, all at once as long as no merge brings up a
+lower rank in its own piece, and those whose pair has changed meanwhile are stale and skipped. A piece of n
+bytes takes O(n) queue operations however long it is, and pieces that repeat in a block are merged once.
 
 Nulls: a null text counts as empty and has no tokens; null and repeated doc_ids pass through. Empty
 tables give empty results. Special tokens are never made: their strings are ordinary text.
@@ -15,14 +16,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 
 from . import scratch
 
-#: Entries of each of the two generations of a worker's cache (about 200 bytes each), unless a caller says otherwise.
-CACHE = 500_000
+#: Characters of text in a block, which share one queue; a longer text is a block of its own.
+BLOCK_CHARS = 8 << 20
 #: A whitespace character before a space: only such texts need the pattern to find their chunks.
 _RUN = re.compile(r"\s ")
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -31,62 +34,75 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 class Codec:
     """Encoder and decoder for a rank file (lines of base64 bytes and rank) and a splitting pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, cache: int = CACHE):
+    def __init__(self, rank_file: bytes, pattern: str):
         import numpy as np
+        import pyarrow as pa
         import regex
 
-        self.numpy, self.cache = np, cache
         self.split = regex.compile(pattern).findall
         self.rank_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         top = max(self.rank_of.values())
         self.shift = top.bit_length()
-        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.bytes_of = dict(map(reversed, self.rank_of.items()))
-        self.text_of = {i: str(i) for i in self.bytes_of}
-        self.byte_ids = [self.rank_of[bytes([b])] for b in range(256)]
-        self.merged = {
-            (self.rank_of[t[:k]] << self.shift) | self.rank_of[t[k:]]: rank
+        merged = sorted(
+            ((self.rank_of[t[:k]] << self.shift) | self.rank_of[t[k:]], rank)
             for t, rank in self.rank_of.items()
             for k in range(1, len(t))
             if t[:k] in self.rank_of and t[k:] in self.rank_of
-        }
-        #: The bitmap has two levels: 256 ranks a word, one bit a word on top.
+        )
+        #: Pairs of ids in order, with an end mark, and the rank that each pair merges to.
+        self.pairs = np.array([*(k for k, _ in merged), 1 << 62], np.int64)
+        self.ranks = np.array([*(r for _, r in merged), -1], np.int32)
+        self.byte_ids = np.array([self.rank_of[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self.rank_of_pair(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+        #: Tokens that some pair merges into a token of a lower rank.
+        self.brings_lower = np.zeros(top + 1, bool)
+        low = self.ranks[:-1].astype(np.int64)
+        for side in (self.pairs[:-1] >> self.shift, self.pairs[:-1] & ((1 << self.shift) - 1)):
+            self.brings_lower[side[low < side]] = True
         self.bit = [1 << k for k in range(max(256, (top >> 8) + 1))]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: always the lowest rank next, from the left."""
-        whole = self.rank_of.get(piece)
-        if whole is not None:
-            return [whole]
-        byte_ids, shift, bit = self.byte_ids, self.shift, self.bit
-        rank_of_pair = self.merged.get
-        ids = [byte_ids[b] for b in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # a bucket is one position, or a list of several
-        buckets: dict[int, int | list[int]] = {}
-        words: dict[int, int] = {}
-        top = 0
-        left = ids[0] if n else 0
-        for i in range(n - 1):
-            right = ids[i + 1]
-            rank = rank_of_pair((left << shift) | right)
-            left = right
-            if rank is None:
-                continue
-            if rank in buckets:
-                held = buckets[rank]
-                if held.__class__ is int:
-                    buckets[rank] = [held, i]
-                else:
-                    held.append(i)
-            else:
-                buckets[rank] = i
-                w = rank >> 8
-                words[w] = words.get(w, 0) | bit[rank & 255]
-                top |= bit[w]
+        by_id = dict(map(reversed, self.rank_of.items()))
+        self.bytes_of = pa.array([by_id.get(i, b"") for i in range(top + 1)], pa.binary())
+        self.text_of = pa.array([f"{i}," for i in range(top + 1)], pa.string())
+
+    def rank_of_pair(self, left, right):
+        """Rank of each pair of ids, -1 where no rule joins them. An id of -1 on the right has no rule."""
+        import numpy as np
+
+        keys = (np.asarray(left, np.int64) << self.shift) | right
+        at = self.pairs.searchsorted(keys)
+        return np.where(self.pairs[at] == keys, self.ranks[at], np.int32(-1))
+
+    def merge(self, pieces: list[bytes]):
+        """(ids of all pieces end to end, number of ids of each): in every piece always the lowest rank next, from the left."""
+        import numpy as np
+
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(raw)
+        if not n:
+            return np.zeros(0, np.int32), sizes
+        starts = np.cumsum(sizes) - sizes
+        filled = sizes > 0
+        first, last = starts[filled], (starts + sizes - 1)[filled]
+        # position n is the end of every piece: it has no id
+        ids, rank_at = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+        ids[:n] = self.byte_ids[raw]
+        rank_at[: n - 1] = self.byte_pairs[(raw[:-1].astype(np.int32) << 8) | raw[1:]]
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        after[last], before[first], rank_at[last] = n, n, -1
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+
+        bit, words, top = self.bit, [0] * len(self.bit), 0
+        at = np.flatnonzero(rank_at >= 0)
+        at = at[np.argsort(rank_at[at], kind="stable")]
+        ranks = rank_at[at]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        buckets = dict(zip(ranks[cuts].tolist(), np.split(at, cuts[1:])))
+        added: dict[int, list[int]] = {}  # positions that came up later, by rank
+        for rank in buckets:
+            words[rank >> 8] |= bit[rank & 255]
+            top |= bit[rank >> 8]
+
         while top:
             # find first set, level by level
             w = (top & -top).bit_length() - 1
@@ -96,100 +112,171 @@ class Codec:
             words[w] = word = word ^ low
             if not word:
                 top ^= bit[w]
-            bucket = buckets.pop(rank)
-            if bucket.__class__ is int:
-                bucket = (bucket,)
-            else:
-                bucket.sort()
-            for i in bucket:
-                j = after[i]
-                if j >= n or ids[i] < 0 or rank_of_pair((ids[i] << shift) | ids[j]) != rank:
-                    continue  # stale
-                ids[i], ids[j] = rank, -1
-                after[i] = j = after[j]
-                made = []
-                if j < n:
-                    before[j] = i
-                    new = rank_of_pair((rank << shift) | ids[j])
-                    if new is not None:
-                        made.append((new, i))
-                h = before[i]
-                if h >= 0:
-                    new = rank_of_pair((ids[h] << shift) | rank)
-                    if new is not None:
-                        made.append((new, h))
-                if not made:
-                    continue
-                if len(bucket) > 1 and min(made)[0] < rank:  # a lower rank has come up and goes first
-                    made += [(rank, k) for k in bucket if k > i]
-                    bucket = ()
-                for new, k in made:
-                    if new in buckets:
-                        held = buckets[new]
-                        if held.__class__ is int:
-                            buckets[new] = [held, k]
-                        else:
-                            held.append(k)
-                    else:
-                        buckets[new] = k
-                        w = new >> 8
-                        words[w] = words.get(w, 0) | bit[new & 255]
+            p = buckets.pop(rank, None)
+            late = added.pop(rank, None)
+            if late:
+                p = np.array(late) if p is None else np.concatenate([p, late])
+                p.sort()
+            p = p[rank_at[p] == rank]  # the others are stale
+            if not len(p):
+                continue
+            j = after[p]
+            held = p
+            if len(p) > 1:
+                shares = p[1:] == j[:-1]  # its left token is the right one of the position before
+                if shares.any():
+                    k = np.arange(len(p))
+                    run = np.maximum.accumulate(np.where(np.concatenate([[True], ~shares]), k, 0))
+                    odd = ((k - run) & 1).astype(bool)
+                    p, j = p[~odd], j[~odd]
+                if self.brings_lower[rank]:
+                    p, j, wait = self._until_lower(rank, p, j, held, ids, after, before, piece_of)
+                    if len(wait):
+                        added[rank] = wait.tolist()
+                        words[w] |= low
                         top |= bit[w]
-                if not bucket:
-                    break
-        return [x for x in ids if x >= 0]
-
-    def _look_up(self, chunk: str, pieces: bool = True) -> bytes:
-        """Ids of a chunk, as bytes. Two generations of cache: a full one becomes the old one, whose entries come back on use."""
-        ids = self.new.get(chunk)
-        if ids is not None:
-            return ids
-        ids = self.old.get(chunk)
-        if ids is None:
-            parts = self.split(chunk) if pieces else [chunk]
-            if len(parts) == 1:
-                ids = self.numpy.array(self.merge(chunk.encode()), self.dtype).tobytes() if len(chunk) > 99 else b"".join([x.to_bytes(self.dtype.itemsize, "little") for x in self.merge(chunk.encode())])
+            then = after[j]
+            ids[p], ids[j], rank_at[j] = rank, -1, -1
+            after[p], before[then] = then, p
+            changed = np.concatenate([p, before[p]])
+            changed = changed[changed < n]
+            if len(p) > 1 and (then[:-1] == p[1:]).any():
+                changed = np.unique(changed)
+            new = self.rank_of_pair(ids[changed], ids[after[changed]])
+            rank_at[changed] = new
+            some = new >= 0
+            for pos, r in zip(changed[some].tolist(), new[some].tolist()):
+                if r in added:
+                    added[r].append(pos)
+                else:
+                    added[r] = [pos]
+                    words[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
+        live = ids[:n] >= 0
+        ends = np.concatenate([[0], np.cumsum(live)])
+        return ids[:n][live], ends[starts + sizes] - ends[starts]
+
+    def _until_lower(self, rank, p, j, held, ids, after, before, piece_of):
+        """p and j up to the first merge of each piece that brings up a lower rank, and the held positions that then wait."""
+        import numpy as np
+
+        left = ids[before[p]]
+        left[1:][after[j[:-1]] == p[1:]] = rank  # the neighbour has been merged by then
+        a, b = self.rank_of_pair(np.full(len(p), rank), ids[after[j]]), self.rank_of_pair(np.maximum(left, 0), np.full(len(p), rank))
+        lower = ((a >= 0) & (a < rank)) | ((left >= 0) & (b >= 0) & (b < rank))
+        if not lower.any():
+            return p, j, p[:0]
+        at = np.flatnonzero(lower)
+        pieces, k = np.unique(piece_of[p[at]], return_index=True)
+        stop = p[at[k]]
+
+        def waits(x):
+            of = piece_of[x]
+            slot = np.minimum(np.searchsorted(pieces, of), len(pieces) - 1)
+            return (pieces[slot] == of) & (x > stop[slot])
+
+        go = ~waits(p)
+        return p[go], j[go], held[waits(held)]
+
+    def encode_block(self, texts: list[str]):
+        """(ids of all texts end to end, number of ids of each). No piece goes on from a character other than
+        white space to white space, and what follows such a place doesn't depend on what precedes it; so texts
+        are cut there, and each different chunk is split and each different piece merged once."""
+        import numpy as np
+
+        index: dict[str, int] = defaultdict(count().__next__)  # numbers, in the order of first sight
+        rows = []
+        for text in texts:
+            if not text:
+                chunks = []
+            elif _RUN.search(text):
+                chunks = _CHUNK.findall(text)
+            else:
+                first, *others = text.split(" ")
+                chunks = [" " + x for x in others]
+                if first:
+                    chunks.insert(0, first)
+            rows.append(np.fromiter(map(index.__getitem__, chunks), np.int32, len(chunks)))
+        pieces: dict[str, int] = defaultdict(count().__next__)
+        parts, counts = [], []
+        for chunk in index:
+            if chunk.isascii() and chunk.lstrip(" ").isalpha() and len(chunk) < 64:
+                found = (chunk,)
             else:
-                ids = b"".join([self._look_up(p, False) for p in parts])
-        if len(chunk) < 64:
-            if len(self.new) >= self.cache:
-                self.old, self.new = self.new, {}
-            self.new[chunk] = ids
-        return ids
+                found = self.split(chunk)
+            parts.extend(map(pieces.__getitem__, found))
+            counts.append(len(found))
+        flat, sizes = self._ids_of([x.encode() for x in pieces])
+        del index, pieces
+        for level in ((parts, counts), (np.concatenate(rows) if rows else [], [len(r) for r in rows])):
+            of, many = np.array(level[0], np.int64), np.array(level[1], np.int64)
+            flat, sizes = _gathered(flat, sizes, of, many)
+        return flat, sizes
+
+    def _ids_of(self, pieces: list[bytes]):
+        """(ids end to end, number of each) of pieces: whole tokens as they are, the others merged."""
+        import numpy as np
+
+        whole = np.fromiter((self.rank_of.get(x, -1) for x in pieces), np.int32, len(pieces))
+        todo = np.flatnonzero(whole < 0)
+        merged, many = self.merge([pieces[k] for k in todo.tolist()])
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[todo] = many
+        flat = np.empty(int(sizes.sum()), np.int32)
+        is_whole = np.repeat(whole >= 0, sizes)
+        flat[is_whole] = whole[whole >= 0]
+        flat[~is_whole] = merged
+        return flat, sizes
 
     def encode(self, text: str):
-        """Ids of a text as an array. No piece goes on from a character other than white space to white space,
-        and what follows such a place doesn't depend on what precedes it; so a text is cut there and its chunks
-        are looked up."""
-        if not text:
-            chunks = []
-        elif _RUN.search(text):
-            chunks = _CHUNK.findall(text)
-        else:
-            first, *others = text.split(" ")
-            chunks = [" " + x for x in others]
-            chunks.insert(0, first)
-        found = list(map(self.new.get, chunks))
-        if None in found:
-            look_up = self._look_up
-            found = [look_up(c) if x is None else x for x, c in zip(found, chunks)]
-        return self.numpy.frombuffer(b"".join(found), self.dtype)
+        """Ids of a text as an array."""
+        return self.encode_block([text])[0]
+
+    def decode_block(self, ids, sizes) -> list[memoryview]:
+        """The bytes that each text's ids stand for."""
+        return self._joined(self.bytes_of, ids, sizes)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
+        return bytes(self.decode_block(ids, [len(ids)])[0])
+
+    def decimals_block(self, ids, sizes) -> list[memoryview]:
+        """Each text's ids as decimals joined by commas."""
+        return [x[:-1] for x in self._joined(self.text_of, ids, sizes)]
+
+    @staticmethod
+    def _joined(of_id, ids, sizes) -> list[memoryview]:
+        import numpy as np
+        import pyarrow as pa
+
+        taken = of_id.take(pa.array(ids, pa.int32()))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        cuts = offsets[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)].tolist()
+        data = memoryview(taken.buffers()[2]) if len(taken) else memoryview(b"")
+        return [data[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
-    def digest(self, ids) -> str:
-        return hashlib.sha256(",".join(map(self.text_of.__getitem__, ids.tolist())).encode()).hexdigest()
+
+def _gathered(flat, sizes, of, many):
+    """Put sequences together from parts: flat and sizes hold the parts end to end, `of` says which parts come one
+    after the other and `many` how many of them each sequence takes. Returns the same two for the sequences."""
+    import numpy as np
+
+    starts = np.cumsum(sizes) - sizes
+    length = sizes[of]
+    done = np.cumsum(length)
+    total = int(done[-1]) if len(done) else 0
+    where = np.repeat(starts[of] - (done - length), length) + np.arange(total)
+    ends = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(many)])]
+    return flat[where], np.diff(ends)
 
 
 _codecs: dict[bytes, Codec] = {}
 
 
-def codec_for(rank_file: bytes, pattern: str, cache: int = CACHE) -> Codec:
+def codec_for(rank_file: bytes, pattern: str) -> Codec:
     """A worker's codec, kept from task to task."""
     key = hashlib.sha256(rank_file + pattern.encode()).digest()
-    if key not in _codecs or _codecs[key].cache != cache:
-        _codecs[key] = Codec(rank_file, pattern, cache)
+    if key not in _codecs:
+        _codecs[key] = Codec(rank_file, pattern)
     return _codecs[key]
 
 
@@ -199,7 +286,35 @@ def _share(spark, rank_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _blocks(batches: Iterator, block_chars: int) -> Iterator[tuple]:
+    """(doc_ids as an Arrow array, texts) in blocks of about block_chars characters."""
+    import pyarrow as pa
+
+    ids, texts, held = [], [], 0
+    for b in batches:
+        lo = 0
+        for k, t in enumerate(b.column(1)):
+            text = t.as_py() or ""
+            texts.append(text)
+            held += len(text)
+            if held >= block_chars:
+                ids.append(b.column(0).slice(lo, k + 1 - lo))
+                yield pa.concat_arrays(ids), texts
+                ids, texts, held, lo = [], [], 0, k + 1
+        if lo < b.num_rows:
+            ids.append(b.column(0).slice(lo))
+    if texts:
+        yield pa.concat_arrays(ids), texts
+
+
+def _lists(flat, sizes):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids: the token ids of every whole text."""
     import pyarrow as pa
 
@@ -208,14 +323,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(ranks.value, pattern)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))],
-                    ["doc_id", "n_tokens", "ids"],
-                )
+        for doc_ids, texts in _blocks(batches, block_chars):
+            flat, sizes = codec.encode_block(texts)
+            yield pa.record_batch([doc_ids, pa.array(sizes, pa.int64()), _lists(flat, sizes)], ["doc_id", "n_tokens", "ids"])
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
@@ -232,12 +342,14 @@ def decode(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield pa.record_batch([part.column(0), pa.array([codec.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "text_bytes"])
+                sizes = part.column(1).value_lengths().fill_null(0).to_numpy()
+                found = codec.decode_block(part.column(1).flatten(), sizes)
+                yield pa.record_batch([part.column(0), pa.array(map(bytes, found), pa.binary())], ["doc_id", "text_bytes"])
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_bytes binary")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the bytes that the ids decode to), and ids if asked for."""
     import pyarrow as pa
@@ -246,28 +358,19 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(ranks.value, pattern, cache)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                n, ids_sha, decoded_sha, kept = [], [], [], []
-                for t in part.column(1):
-                    ids = codec.encode(t.as_py() or "")
-                    n.append(len(ids))
-                    ids_sha.append(codec.digest(ids))
-                    decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(pa.array(ids.astype("int32")))
-                out = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
-                    offsets = [0]
-                    for k in n:
-                        offsets.append(offsets[-1] + k)
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
-                    names.append("ids")
-                yield pa.record_batch(out, names)
+        codec = codec_for(ranks.value, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for doc_ids, texts in _blocks(batches, block_chars):
+            flat, sizes = codec.encode_block(texts)
+            out = [
+                doc_ids, pa.array(sizes, pa.int64()), pa.array(map(sha, codec.decimals_block(flat, sizes)), pa.string()),
+                pa.array(map(sha, codec.decode_block(flat, sizes)), pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                out.append(_lists(flat, sizes))
+                names.append("ids")
+            yield pa.record_batch(out, names)
 
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return narrow.mapInArrow(run, schema + ", ids array<int>" * with_ids)
