@@ -1,4 +1,4 @@
-"""Shared helpers: written intermediate tables, checked broadcasts, joins that split hot keys."""
+"""Shared helpers: written intermediate tables and their removal, checked broadcasts, joins that split hot keys, names."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ BROADCAST_ROWS = 100_000
 #: A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: Joins of at most so many rows are left whole: one task can hold them all.
-SMALL_JOIN = 50_000
+SMALL_JOIN = 5_000
 
 _own: dict[str, str] = {}
+#: (name, path) of the tables written by this process, in order.
+_tables: list[tuple[str, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,10 +42,39 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
+    _tables.append((name, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the sequence of written tables, for remove."""
+    return len(_tables)
+
+
+def remove(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables written after `since`, but for the last of each name in `keep`. Only for tables that no
+    DataFrame in use reads any more: what was made from them has been written itself."""
+    last = {name: path for name, path in _tables[since:] if name in keep}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name, path in _tables[since:]:
+        if last.get(name) != path:
+            p = hadoop(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _tables[since:] = [x for x in _tables[since:] if last.get(x[0]) == x[1]]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that `taken` has in some case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, else df as it is (the join then shuffles)."""
     return F.broadcast(df) if len(df.select(F.lit(1)).head(most + 1)) <= most else df
