@@ -11,8 +11,8 @@ similarity = matched / (all - matched). Links of THRESHOLD or more make classes
 Exact copies (equal words) are grouped first, so buckets hold different texts only. A bucket is a star,
 not all its pairs: its members are compared with its least member, which then retires from it. Buckets that
 still hold several classes go on in leader rounds (see `leader_round`): members outside a bucket's largest
-class are compared with all others outside their own class and retire, until no bucket holds two classes. So
-two texts of different classes that share a key have been compared, or their lengths or parity bits, which
+class are compared with all others outside their own class and retire, until no bucket holds two classes. No bucket,
+class or number of rounds is capped. So two texts of different classes that share a key have been compared, or their lengths or parity bits, which
 bound what they share, rule a link out.
 
 Nulls: a null text counts as empty; texts without words are copies of each other, and texts of under five words
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import scratch
 
@@ -38,6 +39,8 @@ HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
 LEADERS, MOST_LEADERS = 16, 256
 #: Longs of a text's parity bits.
 PARITY = 8
+#: Pairs of one node that are aligned together; a node with more has its words dealt to several tasks.
+SPLIT = 256
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -46,10 +49,10 @@ def words_of(text: str) -> list[bytes]:
 
 
 def sequence(words: list[bytes]):
-    """16 bits of every word's hash; a shingle of five then has 80."""
+    """32 bits of every word's hash; a shingle of five then has 160."""
     import numpy as np
 
-    return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) & np.uint32(0xFFFF)).astype("<u2")
+    return np.fromiter(map(zlib.crc32, words), "<u4", len(words))
 
 
 def shingles(seq):
@@ -149,7 +152,7 @@ def _longest_rising(values: list[int]) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the words), seq (16-bit word hashes), n_shingles, parity and keys of every document."""
+    """doc_id, digest (of the words), seq (32-bit word hashes), n_shingles, parity and keys of every document."""
     import pyarrow as pa
 
     scratch.ship(docs.sparkSession)
@@ -191,8 +194,7 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
     """The pairs (a, b) whose alignment reaches the threshold. seqs: node, seq."""
     import pyarrow as pa
 
-    side = lambda k: seqs.select(F.col("node").alias(k), F.col("seq").alias(f"seq_{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "seq_a", "seq_b")
+    both = _with_seq(_with_seq(pairs, pairs, seqs, "b"), pairs, seqs, "a").select("a", "b", "seq_a", "seq_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -203,13 +205,30 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
             near = []
             for k in range(batch.num_rows):
                 if a[k] != last:
-                    last, x = a[k], shingles(np.frombuffer(batch.column(2)[k].as_buffer(), "<u2"))
-                near.append(similarity(x, shingles(np.frombuffer(batch.column(3)[k].as_buffer(), "<u2")), threshold) >= threshold - 1e-9)
+                    last, x = a[k], shingles(np.frombuffer(batch.column(2)[k].as_buffer(), "<u4"))
+                near.append(similarity(x, shingles(np.frombuffer(batch.column(3)[k].as_buffer(), "<u4")), threshold) >= threshold - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _with_seq(rows: DataFrame, pairs: DataFrame, seqs: DataFrame, side: str) -> DataFrame:
+    """rows of pairs with the sequence of their node a or b. A node of more than SPLIT pairs (the leader of a large
+    class) is dealt out in parts, so that no task gets all its pairs."""
+    seq = seqs.select(F.col("node").alias(side), F.col("seq").alias(f"seq_{side}"))
+    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int"))
+    many = scratch.written(many, "many")
+    if not many.head(1):
+        return rows.join(seq, side)
+    total = many.agg(F.sum("n")).first()[0]
+    other = "b" if side == "a" else "a"
+    # nodes of many pairs, and the rest: no part of either holds more than some SPLIT rows of a node
+    hot = scratch.join_split_hot(rows, many, [side], "n", total).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("n", "parts")
+    dealt = many.join(seq, side).select(side, f"seq_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = rows.join(scratch.maybe_broadcast(many.select(side)), side, "left_anti")
+    return hot.join(dealt, [side, "part"]).drop("part").unionByName(rest.join(seq, side))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of every node in a link (a, b): root is its component's least node. Large and small stars
     in turn until nothing changes; each is a grouped minimum and a join in which hubs are split off."""
@@ -287,6 +306,7 @@ def _lengths(a: str, b: str):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_id, digest, class_id (the least doc_id of its class), class_size, and
     kept (true for one row of each class, which has that doc_id)."""
+    since = scratch.mark()
     rows = scratch.written(sketches(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     groups = scratch.written(
         rows.groupBy("digest").agg(F.min(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("many")), "texts"
@@ -316,6 +336,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_text = scratch.written(
         scratch.join_split_hot(texts.select("root", "digest", "many"), scratch.written(sizes, "classes"), ["root"], "n", total).select("digest", "many", "first", "class_size"), "text-classes"
     )
+    scratch.remove(docs.sparkSession, since, keep=("sketches", "text-classes"))
     out = scratch.join_split_hot(rows.select("doc_id", "row_id", "digest"), of_text, ["digest"], "many", rows.count())
     return out.select("doc_id", "row_id", "digest", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
 
@@ -323,36 +344,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, all columns as they are. Where doc_ids repeat or are null, a row goes if its
     doc_id and words are among those dropped and not those of a row that stays; rows that repeat these are reduced to one."""
+    since = scratch.mark()
     found = scratch.written(classes(docs, id_col, text_col), "near")
+    scratch.remove(docs.sparkSession, since, keep=("near",))
+    drop_id, digest, drop_digest = scratch.fresh(docs.columns, "drop_id", "digest", "drop_digest")
     same = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    dropped = found.where(~F.col("kept") & ~same).select(F.col("doc_id").alias("__drop_id")).distinct()
-    repeated = found.where(~F.col("kept") & same)
-    small = scratch.maybe_broadcast(dropped)
-    right = dropped.hint("shuffle_hash") if small is dropped else small
     if not found.groupBy("doc_id").count().where("count > 1").head(1):
-        return docs.join(right, F.col(id_col).eqNullSafe(F.col("__drop_id")), "left_anti")
+        dropped = found.where("NOT kept").select(F.col("doc_id").alias(drop_id))
+        small = scratch.maybe_broadcast(dropped)
+        right = dropped.hint("shuffle_hash") if small is dropped else small
+        return docs.join(right, F.col(id_col).eqNullSafe(F.col(drop_id)), "left_anti")
     # doc_ids that repeat: the words decide as well
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests = [hashlib.blake2b(b" ".join(words_of(t or "")), digest_size=16).digest() for t in b.column(text_at).to_pylist()]
-            yield b.append_column("__digest", pa.array(digests, pa.binary()))
+            yield b.append_column(digest, pa.array(digests, pa.binary()))
 
     text_at = docs.columns.index(text_col)
-    marked = docs.mapInArrow(run, _with_digest(docs))
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(digest, BinaryType())]))
     # a text is in one class, so at most one row of its words is kept
-    stays = found.where("kept").select(F.col("digest").alias("digest"), F.lit(True).alias("stays"))
-    keys = found.where(~F.col("kept")).join(stays, "digest", "left").where(~same | F.col("stays").isNull())
-    keys = keys.select(F.col("doc_id").alias("__drop_id"), F.col("digest").alias("__drop_digest")).distinct()
-    rest = marked.join(keys, F.col(id_col).eqNullSafe(F.col("__drop_id")) & (F.col("__digest") == F.col("__drop_digest")), "left_anti")
-    return (rest.dropDuplicates([id_col, "__digest"]) if repeated.head(1) else rest).drop("__digest")
-
-
-def _with_digest(docs: DataFrame):
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    return StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
+    stays = found.where("kept").select("digest", F.lit(True).alias("stays"))
+    keys = found.where("NOT kept").join(stays, "digest", "left").where(~same | F.col("stays").isNull())
+    keys = keys.select(F.col("doc_id").alias(drop_id), F.col("digest").alias(drop_digest)).distinct()
+    rest = marked.join(keys, F.col(id_col).eqNullSafe(F.col(drop_id)) & (F.col(digest) == F.col(drop_digest)), "left_anti")
+    repeated = found.where(~F.col("kept") & same).head(1)
+    return (rest.dropDuplicates([id_col, digest]) if repeated else rest).drop(digest)
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
