@@ -6,7 +6,8 @@ order that is free. Shares differ by at most one turn a weight, and taking a sha
 other slots. The table's size is a parameter, not a function of the data; rows find their slot by
 hash and their shard by a broadcast join with the table, in constant time and without a shuffle.
 
-Nulls: a null key hashes as the empty string. Empty tables give empty results.
+Nulls: a null key hashes as the empty string. Empty tables give empty results. Other columns are returned as they
+are; where one has the name of a column that is added, the added one has underscores before its name.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Production parameters: shards, and a prime about a thousand times as many.
-N_SHARDS, TABLE_SIZE = 64, 65_537
+from . import scratch
+
+#: Production parameters: shards, and a prime about a thousand times as many; the largest table that is broadcast.
+N_SHARDS, TABLE_SIZE, MOST_SLOTS = 64, 65_537, 5_000_000
 
 
 def _hash(name: str, salt: str) -> int:
@@ -28,6 +31,8 @@ def fill_table(shards: list[str], table_size: int = TABLE_SIZE, weights: list[in
     """The shard's position in `shards` for each slot. weights: turns of a shard in each round."""
     if not shards or len(set(shards)) < len(shards) or table_size < len(shards):
         raise ValueError("shards must be distinct, and no more than the table has slots")
+    if table_size > MOST_SLOTS:
+        raise ValueError(f"the table is broadcast, so it has at most {MOST_SLOTS} slots")
     if table_size < 2 or any(table_size % k == 0 for k in range(2, int(table_size**0.5) + 1)):
         raise ValueError("table_size must be a prime number")
     turns = weights or [1] * len(shards)
@@ -52,17 +57,17 @@ def slot_of(key, table_size: int = TABLE_SIZE):
 
 
 def place(rows: DataFrame, key: str, shards: list[str], table_size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
-    """rows with __slot and __shard. The table has table_size rows, whatever the data's size."""
+    """rows with two more columns at the end, slot and shard. The table has table_size rows, whatever the data's size."""
     spark: SparkSession = rows.sparkSession
+    slot, shard = scratch.fresh(rows.columns, "slot", "shard")
     filled = ",".join(map(str, fill_table(shards, table_size, weights)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("__slot", "__turn")).select(
-        "__slot", F.element_at(F.array(*map(F.lit, shards)), F.col("__turn").cast("int") + 1).alias("__shard")
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(filled), ",")).alias(slot, "turn")).select(
+        slot, F.element_at(F.array(*map(F.lit, shards)), F.col("turn").cast("int") + 1).alias(shard)
     )
-    return rows.withColumn("__slot", slot_of(F.col(key), table_size)).join(F.broadcast(table), "__slot", "left")
+    return rows.withColumn(slot, slot_of(F.col(key), table_size)).join(F.broadcast(table), slot, "left").select(*rows.columns, slot, shard)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's slot and shard among 64 shards: doc_id, slot, shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    placed = place(docs, "doc_id", [f"shard-{k:03d}" for k in range(N_SHARDS)])
-    return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return place(docs, "doc_id", [f"shard-{k:03d}" for k in range(N_SHARDS)])
