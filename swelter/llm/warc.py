@@ -1,18 +1,21 @@
 """WARC archives: a writer of responses and revisits, and a reader that salvages damaged archives.
 
 Writer: equal payloads are found by digest; the first page of a group is a response, the others are
-revisits that name it. Records are text in Spark's terms (headers and UTF-8), so Spark's own writer makes
-the archives, with its commit protocol, on any file system it knows; each ends in the blank lines that
-end a WARC record. gzip makes one member a file.
-
-Reader: one row a file comes in (archives of ARCHIVE_BYTES fit a task). Gzip members and plain text are
-both read. A record counts only if its version line, its length, the blank lines after it and, for
-responses, its payload's digest are right. After a failed check the search goes on at the next gzip
-member or version line; what lies between is logged as a gap with its byte range and the reason.
+revisits that name it. Every record is a gzip member of its own, so damage costs the records that it hits. Tasks make
+the members and Spark's own writer puts them into files, with its commit protocol, on any file system it knows. That writer
+ends each line with a separator, which is made the member's own last byte: a zero, as the top byte of a length
+under 16 MB; a longer record gets an empty member after it, whose length ends in zeros.
+
+Reader: archives up to ARCHIVE_BYTES by our writer, or as large as Spark's file source takes in one row (under 2 GB),
+are read one to a row and walked through without a copy: what is unpacked is held a record at a time, so a
+file that is one large member is read as a stream. Gzip members and plain text are both read. A record counts only if its version
+line, its length, the blank lines after it and, for responses, its payload's digest are right. After a failed check the
+search goes on at the next gzip member or version line; what lies between is logged as a gap with its byte range and the
+reason. A record may have MOST_BYTES at most; a longer length is taken for damage.
 
 Nulls: a null payload is empty, a null url writes no target, a null page_id reads back as null and is a
 response. Rows that repeat the first page_id and payload of a group are responses too. Empty tables give
-empty results.
+empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Payloads from so many bytes are stored once; bytes of text that an archive aims at.
-MIN_SHARED, ARCHIVE_BYTES = 100, 64 << 20
+#: Payloads from so many bytes are stored once; bytes of text that an archive aims at; longest record that is read.
+MIN_SHARED, ARCHIVE_BYTES, MOST_BYTES = 100, 64 << 20, 1 << 30
 VERSION = b"WARC/1."
 _GZIP = b"\x1f\x8b\x08"
-_LENGTH = re.compile(rb"content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
+#: Bytes that are unpacked or looked at in one go.
+_STEP = 1 << 16
+_EMPTY = zlib.compress(b"", 6, 31)
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -49,19 +54,29 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     if small is not groups:
         found = rows.join(small, "digest", "left")
     else:
-        # hot groups by broadcast; their rows then go to many keys of the shuffled join, where they match nothing
+        # hot groups by broadcast; their rows, and payloads too short to be shared, then go to many keys of the shuffled join, where they match nothing
         total = groups.agg(F.sum("many")).first()[0]
         hot = groups.where(F.col("many") * scratch.HOT_SHARE > total).select("digest", F.col("first").alias("hot_first"))
-        key = F.when(F.col("hot_first").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot"), F.xxhash64("page_id").cast("string")))
+        key = F.when(F.col("hot_first").isNull() & (F.col("n_bytes") >= MIN_SHARED), F.col("digest")).otherwise(F.concat(F.lit("alone"), F.xxhash64("page_id").cast("string")))
         found = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", key)
         found = found.join(groups.select(F.col("digest").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("hot_first", "first"))
     revisit = (F.col("n_bytes") >= MIN_SHARED) & (F.col("first") < F.col("page_id"))
     return found.select("page_id", "url", "payload", "n_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, compression: str = "gzip", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write planned records as archives of about archive_bytes of text each."""
-    n, size = records.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
+def gzip_member(text: bytes) -> bytes:
+    """text as a gzip member without its last byte, which is a zero (see the module's docstring)."""
+    member = zlib.compress(text, 6, 31)
+    return (member if len(text) < 1 << 24 else member + _EMPTY)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", packed: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write pages as archives of about archive_bytes of text each, of gzip members or (packed=False) plain."""
+    import pyarrow as pa
+
+    scratch.ship(pages.sparkSession)
+    records = plan_records(pages, id_col, url_col, payload_col)
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(payload_col).cast("string")))).first()
     per_file = max(1, int(archive_bytes / (500 + (size or 0) / n))) if n else 1
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
@@ -79,112 +94,181 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip", arc
         line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n_bytes"))).cast("string")),
         F.lit("\r\n"), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+    lines, end = records.select(text.alias("value")), "\r\n\r\n"
+    if packed:
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 64):
+                    members = [gzip_member(t.as_py().encode() + b"\r\n\r\n") for t in b.column(0).slice(lo, 64)]
+                    yield pa.record_batch([pa.array(members, pa.binary())], ["value"])
 
-def _headers(block: bytes) -> dict[str, str]:
-    pairs = (x.partition(b":") for x in block.split(b"\r\n")[1:])
-    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, _, v in pairs if k}
+        # Spark's strings are bytes, and its text writer writes them as they are
+        lines, end = lines.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), "\0"
+    lines.write.option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_record(data, at: int):
-    """(headers, http headers, payload, end) of the record at `at`, or the reason why there is none."""
-    if data[at : at + 7] != VERSION:
+def _headers(block: bytes) -> dict[str, str]:
+    """Header lines after the first, by lower-case name; of lines with one name the first."""
+    found: dict[str, str] = {}
+    for x in block.split(b"\r\n")[1:]:
+        name, _, value = x.partition(b":")
+        found.setdefault(name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace"))
+    return found
+
+
+def _length(headers: dict[str, str]) -> int | None:
+    value = headers.get("content-length", "")
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
+class Window:
+    """The part of a stream of bytes that is being looked at: what lies before it is dropped, what follows is fetched on demand."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.start = chunks, bytearray(), 0
+
+    def reach(self, n: int) -> bool:
+        """Whether the window has n bytes, after fetching."""
+        while len(self.data) < n:
+            more = next(self.chunks, None)
+            if more is None:
+                return False
+            self.data += more
+        return True
+
+    def find(self, what: bytes, at: int, limit: int | None = None) -> int:
+        """Where `what` begins, from `at` on, or -1; fetches as it goes."""
+        while (here := self.data.find(what, at)) < 0:
+            at = max(at, len(self.data) - len(what) + 1)
+            if limit is not None and at > limit or not self.reach(len(self.data) + 1):
+                return -1
+        return here
+
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+        self.start += n
+
+
+def parse_record(w: Window, at: int = 0):
+    """(headers, http block, payload, end) of the record at `at` in the window, or the reason why there is none."""
+    w.reach(at + 7)
+    if w.data[at : at + 7] != VERSION:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at)
+    stop = w.find(b"\r\n\r\n", at, at + (1 << 20))
     if stop < 0:
         return "header has no end"
-    head = data[at:stop]
-    length = _LENGTH.search(head)
-    if not length:
+    h = _headers(bytes(w.data[at:stop]))
+    length = _length(h)
+    if length is None:
         return "no length"
-    lo = stop + 4
-    hi = lo + int(length[1])
-    if hi > len(data):
+    lo, hi = stop + 4, stop + 4 + length
+    if length > MOST_BYTES or not w.reach(hi):
         return "cut short"
-    if data[hi : hi + 4] not in (b"\r\n\r\n", b""):
+    w.reach(hi + 4)
+    if w.data[hi : hi + 4] not in (b"\r\n\r\n", b""):
         return "length is wrong"
-    h = _headers(head)
-    body = data.find(b"\r\n\r\n", lo, hi) + 4
-    if not lo <= body - 4:
-        lo, body = lo, lo
-    payload = bytes(data[body:hi])
+    body = w.data.find(b"\r\n\r\n", lo, hi) + 4
+    if body < 4:
+        body = lo
+    payload = bytes(w.data[body:hi])
     named = h.get("warc-payload-digest", "").partition(":")
     if h.get("warc-type") == "response" and named[0] == "sha256" and hashlib.sha256(payload).hexdigest() != named[2]:
         return "digest is wrong"
-    return h, bytes(data[lo:body]), payload, min(hi + 4, len(data))
+    return h, bytes(w.data[lo:body]), payload, min(hi + 4, len(w.data))
 
 
-def _plain(data: bytes, member: int) -> Iterator[tuple]:
-    """('record', member, start, headers, http, payload) and ('gap', member, start, end, reason) of uncompressed text."""
-    at = 0
-    while at < len(data):
-        found = parse_record(data, at)
+def _plain(w: Window, member: int) -> Iterator[tuple]:
+    """('record', member, start, headers, http, payload) and ('gap', member, start, end, reason) of a stream of text."""
+    while w.reach(1):
+        found = parse_record(w)
         if not isinstance(found, str):
-            yield ("record", member, at, *found[:3])
-            at = found[3]
+            yield ("record", member, w.start, *found[:3])
+            w.drop(found[3])
             continue
-        after, here = at + 1, -1
-        while (here := data.find(VERSION, after)) >= 0:
-            if data[here - 1 : here] == b"\n" and not isinstance(parse_record(data, here), str):
+        start, reason = w.start, found
+        # the next valid record after a line's end; bytes that can't be its start are dropped on the way
+        at = 1
+        while (here := w.find(b"\n" + VERSION, at - 1)) >= 0:
+            w.drop(here + 1)
+            if not isinstance(parse_record(w), str):
                 break
-            after = here + 1
-        end = here if here >= 0 else len(data)
-        yield ("gap", member, at, end, found)
-        at = end
-
-
-def _member(data: bytes, at: int):
-    """(what the gzip member at `at` holds, its end, the reason if it is damaged)."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and pos < len(data):
-            out.append(z.decompress(data[pos : pos + 65536]))
-            pos += 65536
-    except zlib.error as e:
-        return b"".join(out), None, f"gzip: {e}"[:80]
-    return (b"".join(out), min(pos, len(data)) - len(z.unused_data), "") if z.eof else (b"".join(out), None, "gzip: cut short")
-
-
-def salvage(data: bytes) -> Iterator[tuple]:
-    """All records of an archive that pass their checks, and the gaps between them. member is a gzip member's
-    offset in the file, -1 in plain text; other offsets are in the member's text, or in the file."""
-    at = 0
+            at = 1
+        if here < 0:
+            w.drop(len(w.data))
+        yield ("gap", member, start, w.start, reason)
+
+
+class _Member:
+    """The gzip member at `at` of data as a stream; end (None if it is damaged) and wrong (the reason) are set when it has been read."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at, self.end, self.wrong = data, at, None, "gzip: not read"
+
+    def chunks(self) -> Iterator[bytes]:
+        z, pos = zlib.decompressobj(31), self.at
+        self.wrong = "gzip: cut short"
+        try:
+            while not z.eof and (pos < len(self.data) or z.unconsumed_tail):
+                part = z.unconsumed_tail or self.data[pos : (pos := min(pos + _STEP, len(self.data)))]
+                yield z.decompress(part, 16 * _STEP)
+        except zlib.error as e:
+            self.wrong = f"gzip: {e}"[:80]
+        if z.eof:
+            self.end, self.wrong = pos - len(z.unused_data) - len(z.unconsumed_tail), ""
+
+
+def salvage(data) -> Iterator[tuple]:
+    """All records of an archive (bytes or a buffer) that pass their checks, and the gaps between them. member is a gzip
+    member's offset in the file, -1 in plain text; other offsets are in the member's text, or in the file."""
+    data, at = memoryview(data).cast("B"), 0
     while at < len(data):
         if data[at : at + 3] == _GZIP:
-            text, end, wrong = _member(data, at)
-            if not wrong:
-                yield from _plain(text, at)
-                at = end
+            m = _Member(data, at)
+            tail = None
+            for x in _plain(Window(m.chunks()), at):
+                # the last gap of a damaged member is part of the damage
+                if tail:
+                    yield tail
+                tail = x if x[0] == "gap" else None
+                if not tail:
+                    yield x
+            if not m.wrong:
+                if tail:
+                    yield tail
+                at = m.end
                 continue
-            yield from (x for x in _plain(text, at) if x[0] == "record")  # what precedes the damage
+            wrong = m.wrong
+        elif data[at : at + 7] == VERSION:
+            # plain text, up to a member that holds a record
+            end = _next_member(data, at + 1)
+            for x in _plain(Window(bytes(data[k : min(k + _STEP, end)]) for k in range(at, end, _STEP)), -1):
+                yield (x[0], -1, x[2] + at, *([x[3] + at, x[4]] if x[0] == "gap" else x[3:]))
+            at = end
+            continue
         else:
             wrong = "neither a member nor a version line"
-            if data[at : at + 7] == VERSION:
-                # plain text, up to a member that is whole
-                end = at
-                while (end := data.find(_GZIP, end + 1)) >= 0 and _member(data, end)[2]:
-                    pass
-                end = end if end >= 0 else len(data)
-                for x in _plain(data[at:end], -1):
-                    yield (x[0], -1, x[2] + at, *([x[3] + at, x[4]] if x[0] == "gap" else x[3:]))
-                at = end
-                continue
-        start, at = at, _next(data, at + 1)
+        start, at = at, min(_next_member(data, at + 1), _next_plain(data, at + 1))
         yield ("gap", -1, start, at, wrong)
 
 
-def _next(data: bytes, at: int) -> int:
-    """Where the next whole gzip member or valid plain record begins, else the end."""
-    member, line = at - 1, at - 1
-    while (member := data.find(_GZIP, member + 1)) >= 0:
-        text, _, wrong = _member(data, member)
-        if text.startswith(VERSION) and not (wrong and isinstance(parse_record(text, 0), str)):
-            break
-    while (line := data.find(VERSION, line + 1)) >= 0:
-        if not isinstance(parse_record(data, line), str):
-            break
-    return min([x for x in (member, line) if x >= 0], default=len(data))
+def _next_member(data: memoryview, at: int) -> int:
+    """Where the next gzip member begins that holds a valid record first, or nothing; else the end."""
+    for found in re.compile(re.escape(_GZIP)).finditer(data, at):
+        m = _Member(data, found.start())
+        w = Window(m.chunks())
+        if not isinstance(parse_record(w), str) or (not w.reach(1) and not m.wrong):
+            return found.start()
+    return len(data)
+
+
+def _next_plain(data: memoryview, at: int) -> int:
+    """Where the next valid record of plain text begins, else the end."""
+    for found in re.compile(re.escape(VERSION)).finditer(data, at):
+        lo = found.start()
+        if not isinstance(parse_record(Window(bytes(data[k : k + _STEP]) for k in range(lo, len(data), _STEP))), str):
+            return lo
+    return len(data)
 
 
 _FIELDS = "kind string, path string, member long, start long, end long, reason string, record_id string, record_type string, refers_to string, target_uri string, named_digest string, http_bytes long, payload binary"
@@ -207,15 +291,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for k in range(b.num_rows):
                 rows, held = [], 0
                 name = b.column(0)[k].as_py()
-                for x in salvage(b.column(1)[k].as_py()):
+                for x in salvage(b.column(1)[k].as_buffer()):
                     if x[0] == "gap":
                         rows.append(dict(zip(("kind", "member", "start", "end", "reason"), x), path=name))
                     else:
-                        h, http = x[3], _LENGTH.search(x[4])
+                        h = x[3]
                         rows.append({
                             "kind": "record", "path": name, "member": x[1], "start": x[2], "record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"),
                             "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"), "named_digest": h.get("warc-payload-digest", "").rpartition(":")[2] or None,
-                            "http_bytes": int(http[1]) if http else None, "payload": x[5],
+                            "http_bytes": _length(_headers(x[4])), "payload": x[5],
                         })
                         held += len(x[5])
                     if held > 4 << 20 or len(rows) >= 4096:
@@ -224,26 +308,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
+    # one file a batch in the hands of a worker: archives aren't gathered
     return files.mapInArrow(run, _FIELDS)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    """Write all pages as archives, read them back."""
+    """Write all pages as archives, read them back. A gap in what was just written is an error, not a page less."""
     path = scratch.new_path(spark, "archives")
-    write_archives(plan_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) AS long)")
     is_revisit = F.col("record_type") == "revisit"
-    return (
-        read_archives(spark, path)
-        .where("kind = 'record'")
-        .select(
+    found = scratch.written(
+        read_archives(spark, path).select(
+            "kind", "path", "start", "end", "reason",
             page("record_id").alias("page_id"),
             F.when(is_revisit, F.col("http_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
             F.when(is_revisit, F.col("named_digest")).otherwise(F.sha2(F.col("payload"), 256)).alias("payload_digest"),
             "record_type",
             page("refers_to").alias("refers_to"),
-        )
-    )
+        ),
+        "warc-records",
+    )
+    gap = found.where("kind = 'gap'").head(1)
+    if gap:
+        raise RuntimeError(f"an archive that was just written has a gap: {gap[0]}")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
