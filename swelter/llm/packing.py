@@ -8,8 +8,11 @@ segment tree over room 0..length answers "least room >= n" in logarithmic time.
 little-endian uint32 bytes: ids (padded), positions (0 again at each segment's start), with cumulative
 segment lengths and each segment's document and offset in it, from which texts can be put together again.
 
+Which documents share a row depends on how the input is dealt into partitions, and a partition ends in one short
+block: so the rows are the same for the same files, but not for the same set of documents. fill tells how full they are.
+
 Nulls: a null text counts as empty and, having no tokens, has no segment; a null doc_id passes through.
-Empty tables give no rows. Repeated doc_ids are separate segments.
+Empty tables give no rows. Repeated doc_ids are separate segments. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,6 +169,14 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     return narrow.mapInArrow(run, f"block long, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{id_type}>, doc_offsets array<long>")
 
 
+def fill(packed: DataFrame, length: int = ROW_TOKENS) -> DataFrame:
+    """n_rows, n_tokens and the share of the rows' room that they fill (null without rows)."""
+    from pyspark.sql import functions as F
+
+    n, tokens = F.count(F.lit(1)), F.coalesce(F.sum(F.col("n_tokens").cast("long")), F.lit(0))
+    return packed.agg(n.alias("n_rows"), tokens.alias("n_tokens"), F.try_divide(tokens, n * length).alias("filled"))
+
+
 def unpack(packed: DataFrame, id_type: str = "long") -> DataFrame:
     """doc_id, doc_offset, ids (little-endian bytes): every segment again."""
     from pyspark.sql import functions as F

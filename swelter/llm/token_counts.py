@@ -3,15 +3,21 @@
 A ledger is a folder with one Parquet table a batch, which holds sums of signed changes by source,
 language and tokenizer version: an insert counts +1 document and +n tokens, a delete takes both away, a
 revised count is a delete under the old figures and an insert under the new ones. Totals are sums over
-the committed batches. A batch commits when Spark's writer leaves its _SUCCESS file; committing a batch
-id again does nothing, and what a failed attempt left is overwritten.
+the committed batches. A batch is written to a folder of its own and commits when that folder is renamed to the
+batch's name, which fails if there is one already: so committing a batch id again does nothing, of two writers of
+one id one wins, and what a failed attempt leaves is never read. compact folds the committed batches into one.
 
 Nulls: a null text has no tokens; null sources and languages are keys of their own. Empty batches
-commit. Repeated rows each count.
+commit. Repeated rows each count. The ledger adds what it is given: to delete what was never inserted leaves totals
+below zero, which negatives lists. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,7 @@ from . import scratch
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+SCHEMA_COLUMNS = [*KEYS, "n_docs", "n_tokens"]
 #: Tokenizer versions that a pattern can count; others bring their own counts.
 TOKENIZERS = {"words/1": "[^\\x20\\x09-\\x0D]+", "pieces/2": "\\p{L}+|\\p{N}+|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]+"}
 
@@ -35,31 +42,95 @@ def changes(rows: DataFrame, tokenizer: str, tokens: str, sign: int) -> DataFram
     )
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _committed(spark: SparkSession, ledger: str) -> list[str]:
+    """Names of the committed batches' folders; what compact has folded in is left out."""
+    root, fs = _hadoop(spark, ledger)
+    found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in found if n.startswith("batch="))
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder unless there is one of that name."""
+    sc = spark.sparkContext
+    jvm = sc._jvm.org.apache.hadoop.fs
+    a, b = jvm.Path(source), jvm.Path(target)
+    _, fs = _hadoop(spark, target)
+    if fs.exists(b):
+        return False
+    try:
+        jvm.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(a, b, sc._gateway.new_array(getattr(jvm, "Options$Rename"), 0))
+    except Py4JJavaError:
+        if not fs.exists(b):
+            raise
+        return False
+    return True
+
+
+def _sums(signed: DataFrame) -> DataFrame:
+    return signed.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def commit(ledger: str, batch_id: str, signed: DataFrame) -> bool:
     """Add a batch to the ledger; False if a batch of this id is in it already, and then nothing changes."""
-    spark, path = signed.sparkSession, f"{ledger}/batch={batch_id}"
-    if _committed(spark, path):
+    spark, name = signed.sparkSession, f"batch={quote(batch_id, safe='')}"
+    held, folded = _committed(spark, ledger), _folded(spark, ledger)
+    if name in held or name in folded:
         return False
-    sums = signed.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sums.write.mode("overwrite").parquet(path)
-    return True
+    own = f"{ledger}/_new-{uuid.uuid4().hex}"
+    _sums(signed).write.parquet(own)
+    if _rename(spark, own, f"{ledger}/{name}"):
+        return True
+    own, fs = _hadoop(spark, own)
+    fs.delete(own, True)
+    return False
+
+
+def _folded(spark: SparkSession, ledger: str) -> dict[str, str]:
+    """Batches that compact has folded in, with the folder of sums that holds them. The names are few and short: a row a batch."""
+    root, fs = _hadoop(spark, ledger)
+    found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    bases = sorted((n for n in found if n.startswith("base-")), key=lambda n: int(n[5:]))
+    if not bases:
+        return {}
+    rows = spark.read.schema("batch string").parquet(f"{ledger}/{bases[-1]}/batches").collect()
+    return {r.batch: bases[-1] for r in rows}
+
+
+def compact(spark: SparkSession, ledger: str) -> None:
+    """Fold all committed batches into one table of sums, which counts from the moment its folder has its name."""
+    held, folded = _committed(spark, ledger), _folded(spark, ledger)
+    todo = [n for n in held if n not in folded]
+    if not todo:
+        return
+    number = max([int(b[5:]) for b in folded.values()], default=0) + 1
+    own = f"{ledger}/_new-{uuid.uuid4().hex}"
+    _sums(_changes(spark, ledger)).write.parquet(f"{own}/sums")
+    spark.createDataFrame([(n,) for n in sorted({*folded, *todo})], "batch string").coalesce(1).write.parquet(f"{own}/batches")
+    _rename(spark, own, f"{ledger}/base-{number}")
+
+
+def _changes(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """The latest table of sums and the batches that it doesn't hold."""
+    folded = _folded(spark, ledger)
+    paths = [f"{ledger}/{n}" for n in _committed(spark, ledger) if n not in folded]
+    paths += [f"{ledger}/{b}/sums" for b in {*folded.values()}]
+    return spark.read.schema(SCHEMA).parquet(*paths).select(*SCHEMA_COLUMNS) if paths else None
 
 
 def totals(spark: SparkSession, ledger: str) -> DataFrame:
     """source, lang, tokenizer, n_docs, n_tokens over the committed batches; keys that are back at zero are left out."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [str(s.getPath()) for s in fs.listStatus(root)] if fs.exists(root) else []
-    paths = [p for p in found if _committed(spark, p)]
-    if not paths:
-        return spark.createDataFrame([], SCHEMA)
-    sums = spark.read.schema(SCHEMA).parquet(*paths).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return sums.where("n_docs <> 0 OR n_tokens <> 0")
+    rows = _changes(spark, ledger)
+    return _sums(rows).where("n_docs <> 0 OR n_tokens <> 0") if rows is not None else spark.createDataFrame([], SCHEMA)
+
+
+def negatives(spark: SparkSession, ledger: str) -> DataFrame:
+    """Totals below zero: something was deleted that had not been inserted."""
+    return totals(spark, ledger).where("n_docs < 0 OR n_tokens < 0")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
