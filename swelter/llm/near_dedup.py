@@ -36,11 +36,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Keys a document, shingles a key; short documents (up to SHORT shingles) have keys of two as well.
 HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
 #: Leaders a bucket in the first leader round, about; further rounds have twice as many, up to the second number.
-LEADERS, MOST_LEADERS = 16, 256
+LEADERS, MOST_LEADERS = 64, 256
 #: Longs of a text's parity bits.
 PARITY = 8
 #: Pairs of one node that are aligned together; a node with more has its words dealt to several tasks.
-SPLIT = 256
+SPLIT = 16_384
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -194,7 +194,13 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
     """The pairs (a, b) whose alignment reaches the threshold. seqs: node, seq."""
     import pyarrow as pa
 
-    both = _with_seq(_with_seq(pairs, pairs, seqs, "b"), pairs, seqs, "a").select("a", "b", "seq_a", "seq_b")
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("node")), F.struct(F.lit("b").alias("side"), F.col("b").alias("node")))).alias("end"))
+    many = scratch.written(ends.groupBy("end.side", "end.node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "many")
+    busy = {r.side: r.total for r in many.groupBy("side").agg(F.sum("n").alias("total")).collect()}
+    both = pairs
+    for side in ("b", "a"):
+        both = _with_seq(both, many.where(F.col("side") == side), busy.get(side, 0), seqs, side)
+    both = both.select("a", "b", "seq_a", "seq_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -212,18 +218,15 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _with_seq(rows: DataFrame, pairs: DataFrame, seqs: DataFrame, side: str) -> DataFrame:
+def _with_seq(rows: DataFrame, many: DataFrame, busy: int, seqs: DataFrame, side: str) -> DataFrame:
     """rows of pairs with the sequence of their node a or b. A node of more than SPLIT pairs (the leader of a large
-    class) is dealt out in parts, so that no task gets all its pairs."""
+    class, listed in many) is dealt out in parts, so that no task gets all its pairs. busy: such nodes' pairs."""
     seq = seqs.select(F.col("node").alias(side), F.col("seq").alias(f"seq_{side}"))
-    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int"))
-    many = scratch.written(many, "many")
-    if not many.head(1):
+    if not busy:
         return rows.join(seq, side)
-    total = many.agg(F.sum("n")).first()[0]
+    many = many.select(F.col("node").alias(side), "n", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
     other = "b" if side == "a" else "a"
-    # nodes of many pairs, and the rest: no part of either holds more than some SPLIT rows of a node
-    hot = scratch.join_split_hot(rows, many, [side], "n", total).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("n", "parts")
+    hot = scratch.join_split_hot(rows, many, [side], "n", busy).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("n", "parts")
     dealt = many.join(seq, side).select(side, f"seq_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rest = rows.join(scratch.maybe_broadcast(many.select(side)), side, "left_anti")
     return hot.join(dealt, [side, "part"]).drop("part").unionByName(rest.join(seq, side))
@@ -245,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
             new = rows.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             new = rows.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        return new.where("u <> v").distinct()
+        return new.where("u <> v") if large else new.where("u <> v").distinct()
 
     seen = mark(edges)
     while seen[0]:
@@ -257,34 +260,36 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def stars(keyed: DataFrame) -> DataFrame:
-    """First round: every bucket's least node against its other members. keyed: node, n_shingles, keys."""
+def bucket_members(keyed: DataFrame) -> DataFrame:
+    """key, n, a (the bucket's least node), n_a, node, n_shingles: the other members of every bucket of several. keyed: node, n_shingles, keys."""
     rows = keyed.select("node", "n_shingles", F.explode("keys").alias("key"))
     led = rows.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     led = scratch.written(led.select("key", "n", F.col("lead.node").alias("a"), F.col("lead.n_shingles").alias("n_a")), "leaders")
     total = led.agg(F.sum("n")).first()[0] or 0
-    pairs = scratch.join_split_hot(rows, led, ["key"], "n", total).where("node <> a").where(_lengths("n_a", "n_shingles"))
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    return scratch.written(scratch.join_split_hot(rows, led, ["key"], "n", total).where("node <> a"), "members")
 
 
-def open_rows(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root, n_shingles, parity, key: members of the buckets that hold several classes, without the stars' leaders."""
-    rows = keyed.select("node", "n_shingles", F.explode("keys").alias("key")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("lead"), F.count(F.lit(1)).alias("n"))
-    several = scratch.written(several.where("low <> high AND n > 2").select("key", "lead", "n"), "open")
-    total = several.agg(F.sum("n")).first()[0] or 0
-    members = scratch.written(scratch.join_split_hot(rows, several, ["key"], "n", total).where("node <> lead").select("node", "root", "n_shingles", "key"), "open-rows")
-    return members.join(keyed.select("node", "parity"), "node")
+def stars(members: DataFrame) -> DataFrame:
+    """First round: every bucket's least node against its other members."""
+    return members.where(_lengths("n_a", "n_shingles")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows that are left). About `most` members outside a bucket's largest class, or all if they are no more,
+def open_rows(members: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, n_shingles, parity, key: members of the buckets of three or more, without the stars' leaders."""
+    found = members.where("n > 2").select("node", "n_shingles", "key")
+    return found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(keyed.select("node", "parity"), "node")
+
+
+def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, DataFrame] | None:
+    """(pairs, rows that are left), or None if no bucket holds two classes. About `most` members outside a bucket's largest class, or all if they are no more,
     are paired with the members outside their own class and retire from the bucket; a bucket of one class is closed.
     At most about `most` pairs a row come up, and hot buckets' members stay where they are."""
     shares = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     buckets = shares.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
     buckets = scratch.written(buckets.select("key", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("others")).where("others > 0"), "buckets")
-    total = buckets.agg(F.sum("n")).first()[0] or 0
+    total = buckets.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
     chance = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # the node's own, so that its buckets agree
     leads = (F.col("root") != F.col("main")) & (chance * F.col("others") < most)
     rows = scratch.written(scratch.join_split_hot(open_, buckets, ["key"], "n", total).withColumn("leads", leads).drop("main", "others"), "open-rows")
@@ -316,13 +321,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows.where("n_shingles > 0").select("row_id", "n_shingles", "parity", "keys").join(nodes, "row_id", "left_semi").withColumnRenamed("row_id", "node"), "keys"
     )
     seqs = rows.select(F.col("row_id").alias("node"), "seq")
-    tried = scratch.written(stars(keyed), "pairs")
+    members = bucket_members(keyed)
+    tried = scratch.written(stars(members), "pairs")
     links = scratch.written(verify(tried, seqs), "links")
     roots = scratch.written(components(links), "roots")
-    open_, most, salt = open_rows(keyed, roots), LEADERS, 1
-    while open_.head(1):
-        pairs, open_ = leader_round(open_, most, salt)
+    open_, most, salt = open_rows(members, keyed, roots), LEADERS, 1
+    while found := leader_round(open_, most, salt):
+        pairs, open_ = found
         pairs = scratch.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            salt += 1
+            continue
         more = scratch.written(verify(pairs, seqs), "links")
         if more.head(1):
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more)

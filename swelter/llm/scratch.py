@@ -15,7 +15,7 @@ BROADCAST_ROWS = 100_000
 #: A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: Joins of at most so many rows are left whole: one task can hold them all.
-SMALL_JOIN = 5_000
+SMALL_JOIN = 50_000
 
 _own: dict[str, str] = {}
 #: (name, path) of the tables written by this process, in order.
