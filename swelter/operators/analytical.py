@@ -71,3 +71,25 @@ def coverage_report(components: DataFrame, person: str = "ext_genid") -> DataFra
 
 def hw_count_report(components: DataFrame, hw_def: str = "tmax_p90_d3") -> DataFrame:
     return components.where(F.col("hw_def") == hw_def).groupBy("window").agg(F.avg("hw_count").alias("mean"), F.percentile("hw_count", F.lit(0.5)).alias("median"), F.max("hw_count").alias("max"))
+
+
+def wave(df: DataFrame, k: int, name: str = "redcap_event_name") -> DataFrame:
+    """Rows of one wave: an event name is 'wave', the wave's number and perhaps an arm."""
+    return df.where(F.regexp_extract(name, r"^wave0*(\d+)(_|$)", 1) == str(k))
+
+
+def describe_numbers(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """variable, position, n, n_missing, mean, sd, median, p25, p75, min, max of whole-table numbers, in the order given."""
+    long = df.select(*[F.col(v).cast("double").alias(v) for v in numbers]).unpivot([], numbers, "variable", "value")
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    out = long.groupBy("variable").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q, F.min("value").alias("min"), F.max("value").alias("max"))
+    place = F.array_position(F.array(*map(F.lit, numbers)), F.col("variable")).cast("int").alias("position")
+    return out.select("variable", place, "n", "n_missing", "mean", "sd", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(2)).alias("p75"), "min", "max").orderBy("position")
+
+
+def stack(*tables: DataFrame) -> DataFrame:
+    """Tables one under the other by column name; a column that a table lacks is null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

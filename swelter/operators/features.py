@@ -55,12 +55,15 @@ def monthly_features(daily: DataFrame, keys=("city",)) -> DataFrame:
     )
 
 
-def zscore_within(df: DataFrame, columns: list[str], keys=("city",)) -> DataFrame:
-    """columns standardised by the group's mean and sample deviation; null where the deviation is 0."""
+def zscore_within(df: DataFrame, columns: list[str], keys=("city",), raw: str | None = None) -> DataFrame:
+    """columns standardised by the group's mean and sample deviation; null where the deviation is 0. With raw, a suffix, the
+    columns as they were stand beside them."""
     stats = df.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     out = df.join(stats, list(keys))
     z = {c: F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.nullif(F.col(f"__s_{c}"), F.lit(0.0))) for c in columns}
-    return out.withColumns(z).select(*df.columns)
+    if raw:
+        z |= {f"{c}{raw}": F.col(c) for c in columns}
+    return out.withColumns(z).select(*df.columns, *([f"{c}{raw}" for c in columns] if raw else []))
 
 
 def rolling_features(df: DataFrame, sums: dict[str, tuple], means: dict[str, tuple], lags: dict[str, tuple], keys=("city",), date: str = "date") -> DataFrame:

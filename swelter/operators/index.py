@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swelter.sources import shared
+
 METRICS = ["hw_count", "hw_mean_excess", "hw_total_days", "hw_degree_days", "hw_mean_humidity", "hw_apparent_excess"]
 GROUP = ["window", "hw_def"]
 
@@ -44,10 +46,11 @@ def first_components(inputs: DataFrame, metrics=None) -> DataFrame:
         s[pdf["i"]] = pdf["sx"]
         n = int(pdf["n"].iloc[0])
         values, vectors = np.linalg.eigh((m - np.outer(s, s) / n) / (n - 1))
-        v = vectors[:, -1]
+        # a group without any variance has no axis
+        v = vectors[:, -1] * (values.sum() > 1e-12)
         if v.sum() < 0:
             v = -v
-        share = values[-1] / values.sum() if values.sum() > 0 else 0.0
+        share = values[-1] / values.sum() if values.sum() > 1e-12 else 0.0
         return pd.DataFrame({"window": [pdf["window"].iloc[0]], "hw_def": [pdf["hw_def"].iloc[0]], "loadings": [v.tolist()], "pca_var_explained": [float(share)]})
 
     return sums.groupBy(*GROUP).applyInPandas(solve, "window string, hw_def string, loadings array<double>, pca_var_explained double")
@@ -57,8 +60,10 @@ def build_index(components: DataFrame, person: str = "ext_genid", metrics=None,
     """Scores (person, window, hw_def, coverage_frac, csei_pca, csei_zsum, pca_var_explained) and loadings."""
     metrics = metrics or METRICS
     inputs = index_inputs(components, metrics=metrics, **limits)
-    first = first_components(inputs, metrics)
-    rows = zmean(inputs, metrics).join(first, GROUP)
+    # a row for each window and definition: what is broadcast grows with the definitions, not with the data
+    first = shared.written(first_components(inputs, metrics), "loadings")
+    small = F.broadcast(first) if first.count() <= 10_000 else first
+    rows = zmean(inputs, metrics).join(small, GROUP)
     pc1 = sum((F.col(f"z_{m}") * F.get("loadings", F.lit(k)) for k, m in list(enumerate(metrics))[1:]), F.col(f"z_{metrics[0]}") * F.get("loadings", F.lit(0)))
     scores = rows.select(person, *GROUP, "coverage_frac", pc1.alias("csei_pca"), "csei_zsum", "pca_var_explained")
     names = F.arrays_zip(F.array(*map(F.lit, metrics)).alias("metric"), F.col("loadings").alias("loading"))
@@ -78,7 +83,9 @@ def average_ranks(df: DataFrame, value: str, name: str, keys) -> DataFrame:
 def spearman_by_group(df: DataFrame, x: str, y: str, keys=tuple(GROUP)) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     ranked = average_ranks(average_ranks(rows, x, "__rx", keys), y, "__ry", keys)
-    return ranked.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    # null where all ranks of a side are tied
+    share = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
+    return ranked.groupBy(*keys).agg(share.alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def variance_summary(scores: DataFrame) -> DataFrame:

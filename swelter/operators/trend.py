@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.sources import shared
 
 
 def annual_summary(df: DataFrame, value: str, high: float = 2.0, keys=("city",)) -> DataFrame:
@@ -80,6 +81,7 @@ def _t_quantile(p: float, df: int) -> float:
 def linear_trend(df: DataFrame, y: str, x: str, per: float = 10.0, level: float = 0.95, keys=("city",)) -> DataFrame:
     """Slope per `per` units of x, its confidence limits and p-value, a row for each group. The sums are Spark's; only the
     t distribution of each group's row is computed in a task."""
+    shared.ship(df.sparkSession)
     sums = trend_sums(df, y, x, keys)
 
     def run(batches: Iterator) -> Iterator:

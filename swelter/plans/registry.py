@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from swelter.functions import columns as C
 from swelter.operators import analytical, clean, cohort, events, exposure, features, index, pca, thresholds, trend
 from swelter.plans import adapters as A
-from swelter.sources import stations
+from swelter.sources import shared, stations
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -131,9 +131,10 @@ def _featured(spark, d) -> DataFrame:
 
 
 def _components(spark, d) -> DataFrame:
-    daily = _exceeding(spark, d)
-    windows = cohort.coverage_frac(A.windows(spark, d), daily)
-    return exposure.exposure_components(windows, daily, _events(spark, d), events.hw_definitions(spark))
+    # climate, events, deficit and coverage all read the daily series, so it and the events are made once
+    daily = shared.written(_exceeding(spark, d), "daily")
+    found = shared.written(events.heatwave_events(daily, thresholds.thresholds(daily, _METRICS), _METRICS), "events")
+    return exposure.exposure_components(cohort.coverage_frac(A.windows(spark, d), daily), daily, found, events.hw_definitions(spark))
 
 
 def flagship(spark, d) -> DataFrame:
@@ -380,17 +381,17 @@ def _count_report(spark, d):
 
 @_query("index_zmean", f"WITH {_E}, {_WIN}, {_COMP}, {_ZIN} SELECT ext_genid, \"window\", hw_def, round(({' + '.join('z_' + m for m in index.METRICS)}) / 6, 6) + 0.0 AS csei_zsum FROM zs")
 def _zmean(spark, d):
-    return index.zmean(index.index_inputs(_components(spark, d))).select("ext_genid", "window", "hw_def", "csei_zsum")
+    return index.zmean(index.index_inputs(shared.written(_components(spark, d), "components"))).select("ext_genid", "window", "hw_def", "csei_zsum")
 
 
 @_query("index_pca")
 def _index(spark, d):
-    return index.build_index(_components(spark, d))[0]
+    return index.build_index(shared.written(_components(spark, d), "components"))[0]
 
 
 @_query("index_loadings")
 def _loadings(spark, d):
-    return index.build_index(_components(spark, d))[1]
+    return index.build_index(shared.written(_components(spark, d), "components"))[1]
 
 
 @_query("spearman_by_group", "WITH " + _D + ", k AS (SELECT city, rank() OVER (PARTITION BY city ORDER BY round(tmax_daily, 3)) + (count(*) OVER (PARTITION BY city, round(tmax_daily, 3)) - 1) / 2 AS a, rank() OVER (PARTITION BY city ORDER BY precip_total) + (count(*) OVER (PARTITION BY city, precip_total) - 1) / 2 AS b "
@@ -440,7 +441,7 @@ def _pivot(spark, d):
         "v AS (SELECT ext_genid, " + ", ".join(f"round({x}, 6) + 0.0 AS coverage_frac_{w}" for x, w in zip(_PIV[3:], analytical.WINDOWS)) + " FROM comp WHERE hw_def = 'tmax_p90_d2' AND \"window\" <> '0_5' GROUP BY ext_genid) "
         "SELECT co.ext_genid, redcap_event_name, d_date, round(age, 6) AS age, birth_date, b.city, hw_count_6_10, hw_count_11_18, hw_count_cumulative, coverage_frac_6_10, coverage_frac_11_18, coverage_frac_cumulative FROM co LEFT JOIN b USING (ext_genid) LEFT JOIN p USING (ext_genid) LEFT JOIN v USING (ext_genid)")
 def _merge(spark, d):
-    one = _components(spark, d).where("hw_def = 'tmax_p90_d2'")
+    one = shared.written(_components(spark, d).where("hw_def = 'tmax_p90_d2'"), "components")
     births = A.births(spark, d).select("ext_genid", "birth_date", "city")
     people = A.members(spark, d).select("ext_genid", "redcap_event_name", "d_date", "age")
     return analytical.merge_analytical(people, births, analytical.pivot_windows(one, ["coverage_frac"]), analytical.pivot_windows(one, ["hw_count"]))
@@ -499,3 +500,6 @@ def _people_qa(spark, d):
 @_query("precip_climatology", "WITH " + _F + " SELECT city, CAST(dayofyear(date) AS BIGINT) AS doy, round(avg(precip_total), 6) + 0.0 AS clim_precip FROM fd GROUP BY city, dayofyear(date)")
 def _climatology(spark, d):
     return exposure.precip_climatology(A.full_daily(spark, d))
+
+
+from swelter.plans import files, models  # noqa: E402, F401  (they register their queries)

@@ -23,10 +23,12 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_station_files(names: DataFrame, stations: DataFrame, name: str = "name") -> DataFrame:
-    """One file per station and year: names that contain the station's code; a full-year name (_A_31-12-<year>.CSV) first,
+    """One file per station and year: names that have the station's code as one of their runs of letters and digits (an underscore after it may be part of the code); a full-year name (_A_31-12-<year>.CSV) first,
     then by name. stations: station, code. names: name, year."""
     n = F.col(name)
-    both = names.join(F.broadcast(stations), n.contains(F.col("code")))
+    # a code is a run of letters and digits with its mark; names are split into such runs, so that equal ones join
+    runs = names.withColumn("__run", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(`{name}`, '[A-Za-z0-9]+_?', 0)"))))
+    both = runs.join(stations, F.col("__run") == F.col("code")).drop("__run")
     full = F.upper(n).endswith(F.concat(F.lit("_A_31-12-"), F.col("year").cast("string"), F.lit(".CSV")))
     best = Window.partitionBy("station", "year").orderBy(F.when(full, 0).otherwise(1), n)
     return both.withColumn("is_full_year", full).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
@@ -34,7 +36,9 @@ def select_station_files(names: DataFrame, stations: DataFrame, name: str = "nam
 
 def check_station_years(found: DataFrame, stations: DataFrame, years: DataFrame) -> DataFrame:
     """station and year of every expected file that is missing."""
-    return stations.select("station").join(F.broadcast(years.select("year"))).join(found.select("station", "year").distinct(), ["station", "year"], "left_anti")
+    # years are few, whatever the data: they go along with each station as an array
+    wanted = stations.select("station", F.explode(F.array(*[F.lit(r[0]) for r in years.select("year").distinct().head(10_000)])).alias("year"))
+    return wanted.join(found.select("station", "year").distinct(), ["station", "year"], "left_anti")
 
 
 def read_archives(spark: SparkSession, path: str, member: str = "") -> DataFrame:
@@ -66,6 +70,27 @@ def read_archives(spark: SparkSession, path: str, member: str = "") -> DataFrame
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, line_no int, line string")
 
 
+def split_fields(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The text fields of an hourly file's lines, by position; further fields are left out."""
+    parts = F.split(F.col(line), ";")
+    return lines.withColumns({c: F.trim(F.get(parts, F.lit(k))) for k, c in enumerate(FIELDS)}).drop(line)
+
+
+def archive_readings(spark: SparkSession, path: str, stations_: DataFrame) -> DataFrame:
+    """Typed readings out of zip archives: of each station and year the best member (see select_station_files), its
+    lines split and parsed. city is the station. Year and code are taken from the member's name."""
+    lines = read_archives(spark, path)
+    names = lines.where("line_no = 0").select("name", F.regexp_extract("name", r"-(\d{4})\.[^.]*$", 1).try_cast("int").alias("year")).distinct()
+    chosen = select_station_files(names, stations_).select("name", F.col("station").alias("city"))
+    return parse_hourly(split_fields(lines.join(F.broadcast(chosen) if chosen.count() <= 100_000 else chosen, "name")))
+
+
+def skipped_files(spark: SparkSession, path: str, readings: DataFrame, file_path: str) -> DataFrame:
+    """name and path of the files that gave no reading: broken ones that were passed over, and empty ones. file_path: the
+    readings' column with their file's whole path."""
+    return list_files(spark, path).join(readings.select(F.col(file_path).alias("path")).distinct(), "path", "left_anti").select("name", "path")
+
+
 def parse_hourly(raw: DataFrame) -> DataFrame:
     """Typed readings from text fields: rows whose first field is a date; the hour stays text."""
     rows = raw.where(F.col("date").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$"))
