@@ -274,14 +274,20 @@ def stars(members: DataFrame) -> DataFrame:
     return members.where(_lengths("n_a", "n_shingles")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def open_rows(members: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, root, n_shingles, parity, key: members of the buckets of three or more, without the stars' leaders."""
-    found = members.where("n > 2").select("node", "n_shingles", "key")
-    return found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(keyed.select("node", "parity"), "node")
+def open_nodes(members: DataFrame, keyed: DataFrame) -> DataFrame:
+    """node, n_shingles, parity, keys: the members of the buckets of three or more, without the stars' leaders, with those buckets' keys."""
+    found = members.where("n > 2").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.collect_list("key").alias("keys"))
+    return found.join(keyed.select("node", "parity"), "node")
+
+
+def with_roots(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """Open nodes with their class, a row for each of their keys."""
+    found = open_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return scratch.written(found.select("node", "root", "n_shingles", "parity", "keys", F.explode("keys").alias("key")), "open-rows")
 
 
 def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, DataFrame] | None:
-    """(pairs, rows that are left), or None if no bucket holds two classes. About `most` members outside a bucket's largest class, or all if they are no more,
+    """open_: node, root, n_shingles, parity, keys, and a row for each key. Gives (pairs, open nodes that are left), or None if no bucket holds two classes. About `most` members outside a bucket's largest class, or all if they are no more,
     are paired with the members outside their own class and retire from the bucket; a bucket of one class is closed.
     At most about `most` pairs a row come up, and hot buckets' members stay where they are."""
     shares = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -293,14 +299,20 @@ def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, Dat
     chance = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # the node's own, so that its buckets agree
     leads = (F.col("root") != F.col("main")) & (chance * F.col("others") < most)
     rows = scratch.written(scratch.join_split_hot(open_, buckets, ["key"], "n", total).withColumn("leads", leads).drop("main", "others"), "open-rows")
-    led = rows.where("leads").select("key", "n", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"), F.col("parity").alias("parity_a"))
+    led = rows.where("leads").groupBy(F.col("node").alias("a")).agg(
+        F.first("n_shingles").alias("n_a"), F.first("root").alias("root_a"), F.first("parity").alias("parity_a"), F.collect_list(F.struct("key", "n")).alias("leads_in")
+    )
+    led = led.withColumn("keys_a", F.col("leads_in.key")).withColumn("x", F.explode("leads_in")).select("a", "n_a", "root_a", "parity_a", "keys_a", "x.key", "x.n")
     rows = rows.drop("n")
     # two texts at the threshold have this share of their shingles unmatched at most
     differ = sum(F.bit_count(F.col(f"parity.p{k}").bitwiseXOR(F.col(f"parity_a.p{k}"))) for k in range(PARITY))
     few = differ <= (F.col("n_a") + F.col("n_shingles")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
-    both = scratch.join_split_hot(rows, led, ["key"], "n", total).where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles") & few)
+    # a pair comes up once, in the least of the buckets that it shares under this leader
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_a"))
+    both = scratch.join_split_hot(rows, led, ["key"], "n", total).where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles") & few & once)
     pairs = both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    return pairs, rows.where("NOT leads").drop("leads")
+    left = rows.where("NOT leads").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.collect_list("key").alias("keys"))
+    return pairs, left
 
 
 def _lengths(a: str, b: str):
@@ -325,19 +337,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tried = scratch.written(stars(members), "pairs")
     links = scratch.written(verify(tried, seqs), "links")
     roots = scratch.written(components(links), "roots")
-    open_, most, salt = open_rows(members, keyed, roots), LEADERS, 1
-    while found := leader_round(open_, most, salt):
+    open_, most, salt = open_nodes(members, keyed), LEADERS, 1
+    while found := leader_round(with_roots(open_, roots), most, salt):
         pairs, open_ = found
         pairs = scratch.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        most, salt = min(2 * most, MOST_LEADERS), salt + 1
         if not pairs.head(1):
-            salt += 1
             continue
         more = scratch.written(verify(pairs, seqs), "links")
         if more.head(1):
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more)
             roots = scratch.written(components(links), "roots")
-            open_ = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        tried, most, salt = tried.unionByName(pairs), min(2 * most, MOST_LEADERS), salt + 1
+        tried = tried.unionByName(pairs)
     # every text's class, with its least document and number of rows
     texts = groups.join(roots, F.col("best.row_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "best.row_id"))
     sizes = texts.groupBy("root").agg(F.min("best").alias("first"), F.sum("many").alias("class_size"), F.count(F.lit(1)).alias("n"))

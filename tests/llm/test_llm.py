@@ -737,9 +737,10 @@ def test_a_leader_round_is_linear_in_a_hot_bucket(spark):
     from swelter.llm import near_dedup as n
 
     parity = F.struct(*[F.lit(0).cast("long").alias(f"p{k}") for k in range(n.PARITY)])
-    open_ = spark.range(3000).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(20).cast("long").alias("n_shingles"), F.lit(7).cast("long").alias("key"), parity.alias("parity"))
+    open_ = spark.range(3000).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(20).cast("long").alias("n_shingles"), F.lit(7).cast("long").alias("key"), parity.alias("parity"), F.array(F.lit(7).cast("long")).alias("keys"))
     pairs, left = n.leader_round(open_, 16, 1)
     led = 3000 - left.count()
+    assert left.where("size(keys) <> 1").count() == 0
     assert 4 < led < 40 and pairs.count() == led * 3000 - led * (led + 1) // 2
 
 
