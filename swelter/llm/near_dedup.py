@@ -194,8 +194,8 @@ def verify(pairs: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD) -> D
     """The pairs (a, b) whose alignment reaches the threshold. seqs: node, seq."""
     import pyarrow as pa
 
-    ends = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("node")), F.struct(F.lit("b").alias("side"), F.col("b").alias("node")))).alias("end"))
-    many = scratch.written(ends.groupBy("end.side", "end.node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "many")
+    count = lambda side: pairs.groupBy(F.lit(side).alias("side"), F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    many = scratch.written(count("a").unionByName(count("b")).where(F.col("n") > SPLIT), "many")
     busy = {r.side: r.total for r in many.groupBy("side").agg(F.sum("n").alias("total")).collect()}
     both = pairs
     for side in ("b", "a"):
