@@ -23,11 +23,13 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_station_files(names: DataFrame, stations: DataFrame, name: str = "name") -> DataFrame:
-    """One file per station and year: names that have the station's code as one of their runs of letters and digits (an underscore after it may be part of the code); a full-year name (_A_31-12-<year>.CSV) first,
+    """One file per station and year: names that contain the station's code; a full-year name (_A_31-12-<year>.CSV) first,
     then by name. stations: station, code. names: name, year."""
     n = F.col(name)
-    # a code is a run of letters and digits with its mark; names are split into such runs, so that equal ones join
-    runs = names.withColumn("__run", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(`{name}`, '[A-Za-z0-9]+_?', 0)"))))
+    # every part of a name that is as long as some code joins codes by equality; lengths are few, whatever the data
+    lengths = [r[0] for r in stations.select(F.length("code")).where("code <> ''").distinct().head(100)]
+    parts = [F.expr(f"transform(sequence(1, greatest(1, length(`{name}`) - {k} + 1)), i -> substring(`{name}`, i, {k}))") for k in lengths]
+    runs = names.withColumn("__run", F.explode(F.array_distinct(F.concat(*parts) if parts else F.array().cast("array<string>"))))
     both = runs.join(stations, F.col("__run") == F.col("code")).drop("__run")
     full = F.upper(n).endswith(F.concat(F.lit("_A_31-12-"), F.col("year").cast("string"), F.lit(".CSV")))
     best = Window.partitionBy("station", "year").orderBy(F.when(full, 0).otherwise(1), n)
