@@ -559,6 +559,85 @@ def test_classifier_learns_from_positives(spark, empty):
     assert q.keep_good(df, labels.limit(0)).columns == df.columns
 
 
+def _minimise(z, p, prior, ridge):
+    """Least non-negative risk by plain numpy: the largest of min_w share * A + (1 - share) * B over shares."""
+    import numpy as np
+
+    def parts(w):
+        g = z @ w
+        return prior * np.logaddexp(0, -g[p]).mean(), np.logaddexp(0, g).mean() - prior * g[p].mean()
+
+    def least(share):
+        w = np.zeros(z.shape[1])
+        for _ in range(60):
+            s = 1 / (1 + np.exp(-(z @ w)))
+            q = s * (1 - s)
+            slope = share * prior * (z[p] * (s[p] - 1)[:, None]).mean(0) + (1 - share) * ((z * s[:, None]).mean(0) - prior * z[p].mean(0)) + ridge * w
+            bend = share * prior * (z[p].T @ (z[p] * q[p][:, None])) / p.sum() + (1 - share) * (z.T @ (z * q[:, None])) / len(z) + np.diag(ridge)
+            w = w - np.linalg.solve(bend, slope)
+        return w
+
+    lo, hi = 0.0, 1.0
+    for _ in range(30):
+        mid = (lo + hi) / 2
+        first, second = parts(least(mid))
+        lo, hi = (mid, hi) if first > second else (lo, mid)
+    return max(parts(least(lo))) + 0.5 * (ridge * least(lo) ** 2).sum(), lambda w: max(parts(w)) + 0.5 * (ridge * w**2).sum()
+
+
+@pytest.mark.parametrize("prior", [0.6, 0.75, 0.9])
+def test_classifier_is_the_least_of_its_risk(spark, prior):
+    import numpy as np
+
+    from swelter.llm import quality_classifier as q
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, q.N_FEATURES)).astype(np.float32)
+    good = r.random(600) < 0.75
+    x[good, :3] += 1.0
+    p = good & (r.random(600) < 0.4)
+    table = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, p)], "x array<float>, part int").repartition(3)
+    model = q.fit(table, prior)
+    assert model.converged
+    z = np.hstack([((x - model.mean) / model.scale).clip(-8, 8), np.ones((600, 1))])
+    want, risk = _minimise(z, p, prior, np.array([q.RIDGE] * q.N_FEATURES + [1e-9]))
+    assert abs(risk(model.weights) - want) < 1e-4
+    again = q.fit(table, prior, start=q.fit(table, 0.5))
+    assert abs(risk(again.weights) - want) < 1e-4
+
+
+def test_prior_comes_from_positives_and_all_documents(spark):
+    import numpy as np
+
+    from swelter.llm import quality_classifier as q
+
+    r = np.random.default_rng(4)
+    for share in (0.3, 0.8):
+        x = np.zeros((6000, q.N_FEATURES), np.float32)
+        good = r.random(6000) < share
+        x[:, 0] = np.where(good, 1.5, -1.5) + r.normal(size=6000)
+        part = np.where(good & (r.random(6000) < 0.5), q.KEPT_BACK, q.UNLABELLED)
+        table = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, part)], "x array<float>, part int")
+        model = q.Model(np.zeros(q.N_FEATURES), np.ones(q.N_FEATURES), np.array([1.0] + [0.0] * q.N_FEATURES))
+        assert abs(q.estimate_prior(table, model) - share) < 0.06
+
+
+def test_classifier_edge_cases(spark, edge):
+    from swelter.llm import quality_classifier as q
+
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.limit(0)):
+        model, x = q.learn(edge, some)
+        rows = q.score(x, model).collect()
+        assert len(rows) == edge.count() and all(0 <= y.score <= 1 for y in rows)
+    assert {y.score for y in rows} == {0.5}
+    long = docs_of(spark, [(1, "a b. " * 200_000, "s"), (1, "a b. " * 200_000, "s"), (2, "", "s")])
+    scores = [y.score for y in q.score(*reversed(q.learn(long, labels))).orderBy("doc_id").collect()]
+    assert len(scores) == 3 and scores[0] == scores[1]
+    clash = edge.selectExpr("*", "1 AS x", "'p' AS part", "2.0 AS score")
+    assert q.keep_good(clash, labels, cut=0.0).columns == clash.columns and q.keep_good(clash, labels, cut=0.0).count() == edge.count()
+
+
 # ---- near duplicates
 
 
