@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.operators import clean
 
 #: Windows as (name, first year, year that ends it): from birth + first years up to the day before birth + last years.
 WINDOWS = [("0_5", 0, 5), ("6_10", 6, 10), ("11_18", 11, 18)]
@@ -41,14 +42,27 @@ def developmental_windows(persons: DataFrame, windows=None, unit: str = "year",
     return persons.select("*", F.explode(F.array(*spans)).alias("__w")).select(*persons.columns, "__w.*")
 
 
+def observed_days(windows: DataFrame, daily: DataFrame, keys=("city",)) -> DataFrame:
+    """__n, the observed days in each distinct window that meets the series: the running count up to its last day less that
+    up to the day before its first, two equality lookups however long it is. Days that the series lacks count as not observed."""
+    spans = windows.select(*keys, "window_start", "window_end").distinct().where("window_end >= window_start")
+    ends = daily.groupBy(*keys).agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+    upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    days = clean.complete_calendar(daily.select(*keys, "date", "n_obs"), keys)
+    run = days.select(*keys, "date", F.count_if(F.col("n_obs") > 0).over(upto).alias("k"))
+    met = spans.join(ends, list(keys)).withColumns({"__last": F.least("window_end", "__hi"), "__before": F.date_sub(F.greatest("window_start", "__lo"), 1)})
+    met = met.where(F.col("__last") > F.col("__before")).drop("__lo", "__hi")
+    met = met.join(run.select(*keys, F.col("date").alias("__last"), F.col("k").alias("__k1")), [*keys, "__last"])
+    met = met.join(run.select(*keys, F.col("date").alias("__before"), F.col("k").alias("__k0")), [*keys, "__before"], "left")
+    return met.select(*keys, "window_start", "window_end", (F.col("__k1") - F.coalesce("__k0", F.lit(0))).alias("__n"))
+
+
 def coverage_frac(windows: DataFrame, daily: DataFrame, keys=("city",), observed_only: bool = False) -> DataFrame:
     """windows with coverage_frac, the share of a window's days that the climate series has. A series is complete, so the
-    share follows from its first and last day; with observed_only, filled days don't count and days are joined."""
+    share follows from its first and last day; with observed_only, filled days don't count."""
     length = F.datediff("window_end", "window_start") + 1
     if observed_only:
-        days = daily.where("n_obs > 0").select(*keys, "date")
-        spans = windows.select(*keys, "window_start", "window_end").distinct().where("window_end >= window_start")
-        seen = spans.join(days, list(keys)).where(F.col("date").between(F.col("window_start"), F.col("window_end"))).groupBy(*keys, "window_start", "window_end").agg(F.count(F.lit(1)).alias("__n"))
+        seen = observed_days(windows, daily, keys)
         out = windows.join(seen, [*keys, "window_start", "window_end"], "left")
         return out.withColumn("coverage_frac", F.when(length > 0, F.coalesce(F.col("__n") / length, F.lit(0.0))).otherwise(0.0)).drop("__n").select(*windows.columns, "coverage_frac")
     ends = daily.groupBy(*keys).agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))

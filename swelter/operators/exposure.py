@@ -59,8 +59,16 @@ def window_climate(windows: DataFrame, daily: DataFrame, keys=("city",)) -> Data
 
 def clip_events_to_windows(windows: DataFrame, events: DataFrame, keys=("city",)) -> DataFrame:
     """Events that overlap a distinct window, clipped to it: clipped_start, clipped_end, clipped_duration, duration_ratio.
-    The station is the join's key, the overlap its residual condition."""
-    both = spans(windows, keys).join(events, list(keys)).where((F.col("start") <= F.col("window_end")) & (F.col("end") >= F.col("window_start")))
+    Both sides have a row for each month they touch and are joined by station and month, so a window meets only events
+    near it and a busy station's windows lie in many tasks. A pair comes up in the first month that both have."""
+
+    def monthly(df, lo, hi):
+        months = F.sequence(F.trunc(lo, "MM"), F.trunc(hi, "MM"), F.expr("INTERVAL 1 MONTH"))
+        return df.where(F.col(lo) <= F.col(hi)).withColumn("__month", F.explode(months))
+
+    both = monthly(spans(windows, keys), *SPAN).join(monthly(events, "start", "end"), [*keys, "__month"])
+    both = both.where(F.col("__month") == F.trunc(F.greatest("start", "window_start"), "MM")).drop("__month")
+    both = both.where((F.col("start") <= F.col("window_end")) & (F.col("end") >= F.col("window_start")))
     both = both.withColumns({"clipped_start": F.greatest("start", "window_start"), "clipped_end": F.least("end", "window_end")})
     both = both.withColumn("clipped_duration", (F.datediff("clipped_end", "clipped_start") + 1).cast("int"))
     return both.withColumn("duration_ratio", F.col("clipped_duration") / F.col("duration"))

@@ -72,11 +72,16 @@ def build_index(components: DataFrame, person: str = "ext_genid", metrics=None,
 
 
 def average_ranks(df: DataFrame, value: str, name: str, keys) -> DataFrame:
-    """Ranks with ties averaged. Values are counted first and the running counts give the ranks, so a group's window holds
-    its distinct values only."""
+    """Ranks with ties averaged. Distinct values are counted and dealt to tasks by range; a task's running counts start
+    from what the ranges before it hold of the group, so no task needs a whole group, however many values it has."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(*keys, value, (upto - (F.col("__n") - 1) / 2).alias(name))
+    counts = shared.written(counts.repartitionByRange(*keys, value).withColumn("__range", F.spark_partition_id()), "counts")
+    # a row for each range and group
+    before = F.sum("__all").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.groupBy(*keys, "__range").agg(F.sum("__n").alias("__all")).withColumn("__from", F.coalesce(before, F.lit(0))).drop("__all")
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("__upto", upto).join(starts, [*keys, "__range"])
+    ranks = ranked.select(*keys, value, (F.col("__from") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
 
 

@@ -297,6 +297,59 @@ def test_prefix_sums_equal_the_range_join(spark):
             assert a[k][c] == b[k][c] or abs(a[k][c] - b[k][c]) < 1e-9, (k, c)
 
 
+def test_overlaps_equal_all_pairs_by_brute_force(spark):
+    import random
+
+    from swelter.operators import exposure
+
+    r = random.Random(3)
+    windows = [("ab"[r.randrange(2)], day(lo), day(lo + r.randrange(-5, 400))) for lo in (r.randrange(900) for _ in range(80))] + [("a", day(3), None), ("c", day(0), day(90)), (None, day(0), day(90))]
+    events = [("ab"[r.randrange(2)], day(lo), day(lo + n), n + 1, "d") for lo, n in ((r.randrange(900), r.choice([0, 1, 6, 45, 200])) for _ in range(60))]
+    got = exposure.clip_events_to_windows(
+        spark.createDataFrame(windows, "city string, window_start date, window_end date"), spark.createDataFrame(events, "city string, start date, end date, duration int, hw_def string")
+    )
+    want = [
+        (c, a, z, s, e, max(a, s), min(z, e))
+        for c, a, z in {w for w in windows if w[2] is not None and w[1] <= w[2]} for d, s, e, *_ in events if c == d and s <= z and e >= a
+    ]
+    assert len(want) > 500
+    assert sorted(map(tuple, got.select("city", "window_start", "window_end", "start", "end", "clipped_start", "clipped_end").collect())) == sorted(want)
+
+
+def test_observed_coverage_equals_a_count_of_days(spark):
+    import random
+
+    from swelter.operators import cohort
+
+    r = random.Random(5)
+    seen = {day(k): r.choice([0, 0, 3, None]) for k in range(300) if r.random() < 0.8}  # days may be missing altogether
+    windows = [(k, "a", day(lo), day(lo + r.randrange(-3, 200))) for k, lo in enumerate(r.randrange(-100, 400) for _ in range(60))] + [(60, "b", day(0), day(9)), (61, None, day(0), day(9)), (62, "a", day(0), None)]
+    w = spark.createDataFrame(windows, "person int, city string, window_start date, window_end date")
+    daily = spark.createDataFrame([("a", d, n) for d, n in seen.items()], "city string, date date, n_obs int")
+    got = {x.person: x.coverage_frac for x in cohort.coverage_frac(w, daily, observed_only=True).collect()}
+    for k, c, a, z in windows:
+        days = [a + dt.timedelta(n) for n in range((z - a).days + 1)] if z and c == "a" else []
+        assert abs(got[k] - (sum((seen.get(d) or 0) > 0 for d in days) / len(days) if days else 0)) < 1e-12
+    assert len(got) == 63
+
+
+def test_ranks_over_several_ranges(spark):
+    import numpy as np
+
+    from swelter.operators.index import average_ranks
+
+    g = np.random.default_rng(2)
+    rows = [(["p", "q", "q"][k % 3], float(v)) for k, v in enumerate(g.integers(0, 700, 3000))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = average_ranks(df, "x", "rank", ["g"]).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert len(got) == 3000 and (got.groupby("g").x.rank() == got["rank"]).all()
+
+
 def test_clipped_events_and_empty_windows(spark):
     from swelter.operators import events, exposure, thresholds
 
