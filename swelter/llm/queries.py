@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from . import bpe, conversation_repair, exact_dedup, lexical_search, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, warc
+from . import bpe, conversation_repair, exact_dedup, lexical_search, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, token_counts, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
@@ -25,5 +26,6 @@ SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op11_conversation_repair": conversation_repair.OP11_SQL,
+    "op12_secret_scan": secret_scan.OP12_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
