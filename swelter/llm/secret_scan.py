@@ -53,7 +53,8 @@ ENCODINGS = {
     "hex_lower": _DIGITS + _LOWER[:6], "hex_upper": _DIGITS + _LOWER[:6].upper(), "base32": _LOWER.upper() + "234567", "base36_lower": _DIGITS + _LOWER, "base36_upper": _DIGITS + _LOWER.upper(),
     "base62": _LOWER.upper() + _LOWER + _DIGITS, "base64": _LOWER.upper() + _LOWER + _DIGITS + "+/", "base64_url": _LOWER.upper() + _LOWER + _DIGITS + "-_",
 }
-TEXT_CHANGE = {name: 0.1 if name.startswith("hex") else 0.2 for name in ENCODINGS}
+#: How often ordinary tokens change between letters and digits and, in alphabets that have both, between cases (joined words).
+TEXT_CHANGE = {name: 0.2 if {"a", "A"} <= set(alphabet) else 0.1 for name, alphabet in ENCODINGS.items()}
 TOKEN = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}"
 
 
