@@ -309,7 +309,9 @@ def leader_round(open_: DataFrame, most: int, salt: int) -> tuple[DataFrame, Dat
     few = differ <= (F.col("n_a") + F.col("n_shingles")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
     # a pair comes up once, in the least of the buckets that it shares under this leader
     once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_a"))
-    both = scratch.join_split_hot(rows, led, ["key"], "n", total).where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles") & few & once)
+    # of two leaders, the lesser one is paired with the greater one and not the other way round as well
+    one_way = ~(F.col("leads") & (F.col("node") < F.col("a")))
+    both = scratch.join_split_hot(rows, led, ["key"], "n", total).where((F.col("root") != F.col("root_a")) & _lengths("n_a", "n_shingles") & one_way & few & once)
     pairs = both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     left = rows.where("NOT leads").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.collect_list("key").alias("keys"))
     return pairs, left
