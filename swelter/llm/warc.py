@@ -2,7 +2,7 @@
 
 Writer: equal payloads are found by digest; the first page of a group is a response, the others are
 revisits that name it. Every record is a gzip member of its own, so damage costs the records that it hits. Tasks make
-the members and Spark's own writer puts them into files, with its commit protocol, on any file system it knows. That writer
+the members, number the files by the bytes written so far, and Spark's own writer puts them into files, with its commit protocol, on any file system it knows. That writer
 ends each line with a separator, which is made the member's own last byte: a zero, as the top byte of a length
 under 16 MB; a longer record gets an empty member after it, whose length ends in zeros.
 
@@ -71,13 +71,12 @@ def gzip_member(text: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", packed: bool = True, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write pages as archives of about archive_bytes of text each, of gzip members or (packed=False) plain."""
+    """Write pages as archives of at most archive_bytes of text each (or of one longer record), of gzip members or (packed=False)
+    plain. A task counts the bytes it writes and begins its next file before they are too many: its k-th file lies in the folder file=k."""
     import pyarrow as pa
 
     scratch.ship(pages.sparkSession)
     records = plan_records(pages, id_col, url_col, payload_col)
-    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(payload_col).cast("string")))).first()
-    per_file = max(1, int(archive_bytes / (500 + (size or 0) / n))) if n else 1
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     clean = F.regexp_replace("url", "[\\x00-\\x20\\x7f]", "%20")
@@ -94,18 +93,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n_bytes"))).cast("string")),
         F.lit("\r\n"), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
-    lines, end = records.select(text.alias("value")), "\r\n\r\n"
-    if packed:
+    end = b"\r\n\r\n"
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, 64):
-                    members = [gzip_member(t.as_py().encode() + b"\r\n\r\n") for t in b.column(0).slice(lo, 64)]
-                    yield pa.record_batch([pa.array(members, pa.binary())], ["value"])
-
-        # Spark's strings are bytes, and its text writer writes them as they are
-        lines, end = lines.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), "\0"
-    lines.write.option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = 0, 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                members, files = [], []
+                for t in b.column(0).slice(lo, 64):
+                    record = t.as_py().encode()
+                    size = len(record) + len(end)
+                    if held and held + size > archive_bytes:
+                        file, held = file + 1, 0
+                    held += size
+                    members.append(gzip_member(record + end) if packed else record)
+                    files.append(file)
+                yield pa.record_batch([pa.array(members, pa.binary()), pa.array(files, pa.int32())], ["value", "file"])
+
+    # Spark's strings are bytes, and its text writer writes them as they are
+    lines = records.select(text.alias("value")).mapInArrow(run, "value binary, file int").select(F.col("value").cast("string").alias("value"), "file")
+    lines.write.partitionBy("file").option("lineSep", "\0" if packed else end.decode()).option("compression", "none").text(path)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -279,7 +286,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     import pyarrow as pa
 
     scratch.ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     names = [x.split()[0] for x in _FIELDS.split(", ")]
     types = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _FIELDS.split(", ")]
 

@@ -401,7 +401,7 @@ def test_damage_in_our_own_archive_costs_one_record(spark, tmp_path):
     r = random.Random(1)
     rows = [(k, f"http://h/{k}", "".join(r.choices("abcdefghij <>", k=r.randint(100, 2000)))) for k in range(200)]
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a")
-    (name,) = glob.glob(f"{tmp_path}/a/part-*")
+    (name,) = glob.glob(f"{tmp_path}/a/*/part-*")
     whole = open(name, "rb").read()
     assert gzip.decompress(whole).count(b"WARC-Record-ID") == 200
     starts = [x[1] for x in warc.salvage(whole)]

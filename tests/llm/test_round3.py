@@ -315,3 +315,93 @@ def test_search_edge_cases(spark):
     assert [x["rank"] for x in got] == [1, 1, 2, 2] and {x.doc_id for x in got} == {3}
     named = spark.createDataFrame([("x", "a"), ("y", None), (None, "a b")], "name string, body string")
     assert [x.doc_id for x in L.search(named, items, id_col="name", text_col="body").orderBy("rank").collect()] == [None, "x"]
+
+
+# ---- archives and counts
+
+
+def test_archives_are_cut_by_bytes_where_large_pages_are_neighbours(spark, tmp_path):
+    import glob
+    import gzip
+
+    from swelter.llm import warc
+
+    r = random.Random(10)
+    html = lambda n: "".join(r.choices("abcdef <>", k=1000)) * (n // 1000) + "x" * (n % 1000)
+    rows = [(k, f"http://h/{k}", html(60_000 if 1000 <= k < 1060 else 100) + str(k)) for k in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    for packed in (True, False):
+        warc.write_archives(pages, f"file://{tmp_path}/{packed}", packed=packed, archive_bytes=100_000)
+        names = glob.glob(f"{tmp_path}/{packed}/*/part-*")
+        texts = [gzip.decompress(data) if packed else data for data in (open(n, "rb").read() for n in names)]
+        assert max(map(len, texts)) <= 100_000 and sum(t.count(b"WARC-Record-ID") for t in texts) == 1500
+        assert sorted(x.record_id for x in warc.read_archives(spark, f"file://{tmp_path}/{packed}").collect()) == sorted(f"<urn:page:{k}>" for k in range(1500))
+
+
+CHANGE = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+
+
+def test_a_batch_that_commits_during_compact_counts_once(spark, tmp_path, monkeypatch):
+    from swelter.llm import token_counts as tc
+
+    ledger = f"file://{tmp_path}/ledger"
+    one = lambda n: spark.createDataFrame([("s", "en", "words/1", 1, n)], CHANGE)
+    tc.commit(ledger, "a", one(10))
+    rename, sums = tc._rename, tc._sums
+
+    def late(signed):  # a batch commits while compact makes its sums
+        monkeypatch.setattr(tc, "_sums", sums)
+        tc.commit(ledger, "b", one(7))
+        return sums(signed)
+
+    monkeypatch.setattr(tc, "_sums", late)
+    tc.compact(spark, ledger)
+    want = [("s", "en", "words/1", 2, 17)]
+    assert [tuple(x) for x in tc.totals(spark, ledger).collect()] == want
+    assert not tc.commit(ledger, "a", one(10)) and not tc.commit(ledger, "b", one(7))
+    tc.compact(spark, ledger)
+    assert [tuple(x) for x in tc.totals(spark, ledger).collect()] == want
+    # of two that compact at once, the second one's folder goes
+    tc.commit(ledger, "c", one(1))
+    monkeypatch.setattr(tc, "_rename", lambda s, a, b: False)
+    tc.compact(spark, ledger)
+    monkeypatch.setattr(tc, "_rename", rename)
+    assert not list(tmp_path.glob("ledger/_new-*"))
+    assert [tuple(x) for x in tc.totals(spark, ledger).collect()] == [("s", "en", "words/1", 3, 18)]
+
+
+def test_vacuum_deletes_what_is_folded_after_its_grace(spark, tmp_path):
+    from swelter.llm import token_counts as tc
+
+    ledger = f"file://{tmp_path}/ledger"
+    one = lambda n: spark.createDataFrame([(None, None, "words/1", 1, n)], CHANGE)
+    for k in "abc":
+        tc.commit(ledger, k, one(2))
+        if k != "c":
+            tc.compact(spark, ledger)
+    (tmp_path / "ledger/_new-lost").mkdir()
+    assert tc.vacuum(spark, ledger) == []
+    assert tc.vacuum(spark, ledger, grace_s=-5) == ["_new-lost", "base-1", "batch=a", "batch=b"]
+    assert [tuple(x) for x in tc.totals(spark, ledger).collect()] == [(None, None, "words/1", 3, 6)]
+    assert not tc.commit(ledger, "a", one(2)) and tc.vacuum(spark, f"{ledger}-none") == []
+
+
+def test_bpe_counts_are_the_librarys(spark):
+    import base64
+    import sys
+
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    sys.path.append("/opt/tokenizers")
+    import public_tokenizers as P
+
+    from swelter.llm import token_counts as tc
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "Hello world, 123 Übermut", "a"), (2, None, "a"), (3, "", None), (4, "x " * 9000, "b"), (4, "x " * 9000, "b")]
+    got = tc.bpe_counted(spark.createDataFrame(rows, "doc_id long, text string, source string"), path, P.PATTERN, F.col("source"), F.col("doc_id")).collect()
+    key = lambda v: (v[1], v[2])
+    assert sorted(map(tuple, got), key=key) == sorted(((s, i, len(lib.encode_ordinary(t or ""))) for i, t, s in rows), key=key)
