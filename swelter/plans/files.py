@@ -53,9 +53,9 @@ def _skipped(spark, d):
     return stations.skipped_files(spark, path, got, "city").select(folder.alias("name"))
 
 
-@R._query("archives_to_daily", R.SQL["hourly_to_daily"])
-def _archives(spark, d):
-    """Zip archives, a file a station and year of them with a partial file beside it; the full ones give readings, then days."""
+def _archives_of(spark, d, broken: bool = False) -> str:
+    """Folder of zip archives, one for each station and year, with a partial file beside the full one. broken: of every three years one has
+    its archives cut short, and one a changed byte in the full file's data."""
     path = shared.new_folder(spark, "archives")
 
     def pack(pdf):
@@ -64,19 +64,51 @@ def _archives(spark, d):
 
         import pandas as pd
 
-        city, year = pdf["city"].iloc[0], pdf["year"].iloc[0]
+        city, year = pdf["city"].iloc[0], int(pdf["year"].iloc[0])
         held = io.BytesIO()
         with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
             for part, rows in (("30-06", pdf["line"][:9]), ("31-12", pdf["line"])):
                 z.writestr(f"S_RS_{_CODE[city]}_X_A_{part}-{year}.CSV", "\r\n".join([*_HEAD, *rows]).encode("latin-1"))
-        return pd.DataFrame({"value": [held.getvalue()]})
+            at = z.infolist()[1].header_offset
+        whole = bytearray(held.getvalue())
+        if broken and year % 3 == 0:
+            whole = whole[: len(whole) // 2]
+        elif broken and year % 3 == 1:
+            whole[at + 120] ^= 0x55
+        return pd.DataFrame({"value": [bytes(whole)]})
 
     # a station's year of readings is bounded by its hours
     packed = _lines(spark, d).groupBy("city", "year").applyInPandas(pack, "value binary")
     # Spark's strings are bytes, and a zip may have a byte after its end
     packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
-    known = spark.createDataFrame([(c, f"{k}_") for c, k in _CODE.items()], "station string, code string")
-    return clean.hourly_to_daily(clean.range_qc(stations.archive_readings(spark, path, known)))
+    return path
+
+
+def _known(spark) -> DataFrame:
+    return spark.createDataFrame([(c, f"{k}_") for c, k in _CODE.items()], "station string, code string")
+
+
+@R._query("archives_to_daily", R.SQL["hourly_to_daily"])
+def _archives(spark, d):
+    """Zip archives; each station's and year's full file gives readings, then days."""
+    return clean.hourly_to_daily(clean.range_qc(stations.archive_readings(spark, _archives_of(spark, d), _known(spark))))
+
+
+@R._query("damaged_archives", """WITH r AS (""" + A.READINGS + """), f AS (SELECT DISTINCT city, CAST(year(date) AS BIGINT) AS year FROM r)
+SELECT CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM f WHERE year % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT concat('S_RS_', CASE city WHEN 'A' THEN 'A101' WHEN 'N' THEN 'A102' ELSE 'A103' END, '_X_A_31-12-', CAST(year AS VARCHAR), '.CSV'), 1 FROM f WHERE year % 3 = 1""")
+def _damaged(spark, d):
+    """Archives cut short (no name) and members with a wrong byte: the readings go on without them, and a report names them."""
+    lines, damage = stations.archive_lines(spark, _archives_of(spark, d, broken=True), _known(spark))
+    return damage.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R._query("archives_with_damage", """WITH r AS (SELECT * FROM (""" + A.READINGS + """) WHERE year(date) % 3 = 2)
+SELECT city, CAST(year(date) AS BIGINT) AS year, count(*) AS n, round(sum(precip_mm), 6) + 0.0 AS precip_mm FROM r GROUP BY 1, 2""")
+def _with_damage(spark, d):
+    """What the intact archives hold, where others beside them are broken."""
+    got = stations.archive_readings(spark, _archives_of(spark, d, broken=True), _known(spark))
+    return got.groupBy("city", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("precip_mm").alias("precip_mm"))
 
 
 _SOME = "city date tmax_daily:d precip_total:d n_obs:i"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.sources import archives, shared
 
 #: The fields of an hourly file, by position.
 FIELDS = [
@@ -24,52 +23,39 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def select_station_files(names: DataFrame, stations: DataFrame, name: str = "name") -> DataFrame:
     """One file per station and year: names that contain the station's code; a full-year name (_A_31-12-<year>.CSV) first,
-    then by name. stations: station, code. names: name, year."""
+    then by name, then by archive if there is such a column, so that a file that lies in several archives counts once.
+    stations: station, code. names: name, year."""
     n = F.col(name)
-    # every part of a name that is as long as some code joins codes by equality; lengths are few, whatever the data
-    lengths = [r[0] for r in stations.select(F.length("code")).where("code <> ''").distinct().head(100)]
-    parts = [F.expr(f"transform(sequence(1, greatest(1, length(`{name}`) - {k} + 1)), i -> substring(`{name}`, i, {k}))") for k in lengths]
-    runs = names.withColumn("__run", F.explode(F.array_distinct(F.concat(*parts) if parts else F.array().cast("array<string>"))))
+    # every part of a name that is as long as some code joins codes by equality; codes longer than every name can't be in one
+    longest = names.agg(F.max(F.length(n))).first()[0] or 0
+    lengths = [r[0] for r in stations.select(F.length("code").alias("k")).where(f"k BETWEEN 1 AND {longest}").distinct().orderBy("k").collect()]
+    sizes = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
+    parts = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - k + 1)), lambda i: F.substring(n, i, k))))
+    runs = names.withColumn("__run", F.explode(F.array_distinct(parts)))
     both = runs.join(stations, F.col("__run") == F.col("code")).drop("__run")
     full = F.upper(n).endswith(F.concat(F.lit("_A_31-12-"), F.col("year").cast("string"), F.lit(".CSV")))
-    best = Window.partitionBy("station", "year").orderBy(F.when(full, 0).otherwise(1), n)
+    best = Window.partitionBy("station", "year").orderBy(F.when(full, 0).otherwise(1), n, *(["archive"] if "archive" in names.columns else []))
     return both.withColumn("is_full_year", full).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
 
 
+#: Years that may be expected: they go along in the plan.
+MOST_YEARS = 10_000
+
+
 def check_station_years(found: DataFrame, stations: DataFrame, years: DataFrame) -> DataFrame:
-    """station and year of every expected file that is missing."""
-    # years are few, whatever the data: they go along with each station as an array
-    wanted = stations.select("station", F.explode(F.array(*[F.lit(r[0]) for r in years.select("year").distinct().head(10_000)])).alias("year"))
-    return wanted.join(found.select("station", "year").distinct(), ["station", "year"], "left_anti")
+    """station and year of every expected file that is missing. More than MOST_YEARS years are an error."""
+    wanted = [r[0] for r in years.select("year").distinct().head(MOST_YEARS + 1)]
+    if len(wanted) > MOST_YEARS:
+        raise ValueError(f"more than {MOST_YEARS} years are expected")
+    expected = stations.select("station", F.explode(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<int>")).alias("year"))
+    return expected.join(found.select("station", "year").distinct(), ["station", "year"], "left_anti")
 
 
 def read_archives(spark: SparkSession, path: str, member: str = "") -> DataFrame:
-    """Lines of the text members of zip archives: archive, name, line_no, line. A zip can't be split, so a task reads one;
-    members whose names lack `member` are left out."""
-
-    def run(batches: Iterator) -> Iterator:
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if info.is_dir() or member not in info.filename:
-                            continue
-                        held = []
-                        with z.open(info) as f:
-                            for k, line in enumerate(io.TextIOWrapper(f, "latin-1")):
-                                held.append((where, info.filename, k, line.rstrip("\r\n")))
-                                if len(held) == 20_000:
-                                    yield pd.DataFrame(held, columns=["archive", "name", "line_no", "line"])
-                                    held = []
-                        if held:
-                            yield pd.DataFrame(held, columns=["archive", "name", "line_no", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, line_no int, line string")
+    """Lines of the members of zip archives whose names contain `member`: archive, name, line_no, line. What is damaged gives no line."""
+    listed = archives.contents(spark, path)
+    lines = archives.member_lines(spark, path, listed.where(F.col("name").contains(member)))
+    return lines.where("damage IS NULL").drop("damage")
 
 
 def split_fields(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -78,13 +64,27 @@ def split_fields(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.withColumns({c: F.trim(F.get(parts, F.lit(k))) for k, c in enumerate(FIELDS)}).drop(line)
 
 
+def chosen_members(listed: DataFrame, stations_: DataFrame) -> DataFrame:
+    """Rows of archives.contents for the best member of each station and year (see select_station_files), with city, the station.
+    Year and code are taken from the member's name."""
+    named = listed.where("damage IS NULL").withColumn("year", F.regexp_extract("name", r"-(\d{4})\.[^.]*$", 1).try_cast("int"))
+    return select_station_files(named, stations_).withColumnRenamed("station", "city")
+
+
+def archive_lines(spark: SparkSession, path: str, stations_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of the chosen members with their city, damage of archives and chosen members)."""
+    listed = archives.contents(spark, path)
+    chosen = shared.written(chosen_members(listed, stations_), "chosen-members")
+    lines = archives.member_lines(spark, path, chosen)
+    members = chosen.select("archive", "name", "city")
+    with_city = lines.join(F.broadcast(members) if chosen.count() <= archives.BROADCAST_ROWS else members, ["archive", "name"])
+    return with_city.where("damage IS NULL").drop("damage"), archives.damage(listed, lines)
+
+
 def archive_readings(spark: SparkSession, path: str, stations_: DataFrame) -> DataFrame:
-    """Typed readings out of zip archives: of each station and year the best member (see select_station_files), its
-    lines split and parsed. city is the station. Year and code are taken from the member's name."""
-    lines = read_archives(spark, path)
-    names = lines.where("line_no = 0").select("name", F.regexp_extract("name", r"-(\d{4})\.[^.]*$", 1).try_cast("int").alias("year")).distinct()
-    chosen = select_station_files(names, stations_).select("name", F.col("station").alias("city"))
-    return parse_hourly(split_fields(lines.join(F.broadcast(chosen) if chosen.count() <= 100_000 else chosen, "name")))
+    """Typed readings out of zip archives: of each station and year the best member, its lines split and parsed. city is the station.
+    Damaged archives and members give no reading; archive_lines reports them."""
+    return parse_hourly(split_fields(archive_lines(spark, path, stations_)[0]))
 
 
 def skipped_files(spark: SparkSession, path: str, readings: DataFrame, file_path: str) -> DataFrame:
