@@ -46,6 +46,9 @@ ASSIGN_HEAD = "(?:" + "|".join(map(_any_case, NAMES)) + r""")["']?\x20*[:=]\x20*
 PATTERNS = {"assign": ASSIGN_HEAD + VALUE, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
 KINDS = [*PATTERNS, "random"]
 SHORTEST = {"assign": 6, "access": 20, "hex": 24}
+#: The same matches that are long enough, found without the many short ones: both kinds match whole runs of their characters, so a
+#: match that is too short holds no longer one. (An assignment that is too short may hide another one, so all of them are found.)
+SEARCHED = {**PATTERNS, "access": f"AKIA[A-Z0-9]{{{SHORTEST['access'] - 4},}}", "hex": f"[0-9a-f]{{{SHORTEST['hex']},}}"}
 
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings by size of alphabet, each in its natural order.
@@ -172,7 +175,7 @@ def examine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """A written table: doc_id, base (spans of the patterns: start, place of the kind, end) and tokens (start, end, band, step of evidence,
     random: whether the battery passes and no pattern's span is touched) of every document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), *[F.filter(matches(text, p), _long_enough(k)).alias(k) for k, p in PATTERNS.items()], matches(text, TOKEN).alias("tokens"))
+    found = docs.select(F.col(id_col).alias("doc_id"), *[F.filter(matches(text, p), _long_enough(k)).alias(k) for k, p in SEARCHED.items()], matches(text, TOKEN).alias("tokens"))
     base = F.array_sort(F.concat(*[F.transform(k, _placed(at)) for at, k in enumerate(PATTERNS)]))
 
     def tested(x: Column) -> Column:
