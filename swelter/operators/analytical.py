@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swelter.operators import quantiles
+
 WINDOWS = ["6_10", "11_18", "cumulative"]
 
 
@@ -40,10 +42,8 @@ def merge_analytical(cohort: DataFrame, births: DataFrame, scores: DataFrame, co
 def describe_long(df: DataFrame, variables: list[str], keys=("city",)) -> DataFrame:
     """keys, variable, n_total, n_nonmiss, mean, sd, median, p25, p75, min, max, in the order of variables."""
     long = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in variables]).unpivot(list(keys), variables, "variable", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(*keys, "variable").agg(
-        F.count(F.lit(1)).alias("n_total"), F.count("value").alias("n_nonmiss"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q.alias("q"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
+    sums = [F.count(F.lit(1)).alias("n_total"), F.count("value").alias("n_nonmiss"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max")]
+    out = quantiles.grouped(long, [*keys, "variable"], "value", [0.25, 0.5, 0.75], sums)
     place = F.array_position(F.array(*map(F.lit, variables)), F.col("variable"))
     return out.select(*keys, "variable", place.cast("int").alias("position"), "n_total", "n_nonmiss", "mean", "sd", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(2)).alias("p75"), "min", "max")
 
@@ -52,9 +52,8 @@ def describe_cohort(df: DataFrame, numbers: list[str], codes: list[str], any_of:
     """variable, level, n, mean, sd, median, min, max: numbers, counts of each code, and rows with any of any_of."""
     empty = [F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "median", "min", "max")]
     long = df.select(*[F.col(v).cast("double").alias(v) for v in numbers]).unpivot([], numbers, "variable", "value")
-    parts = long.groupBy("variable").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("median"), F.min("value").alias("min"), F.max("value").alias("max")
-    ).select("variable", F.lit(None).cast("string").alias("level"), "n", "mean", "sd", "median", "min", "max")
+    sums = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max")]
+    parts = quantiles.grouped(long, ["variable"], "value", [0.5], sums).select("variable", F.lit(None).cast("string").alias("level"), "n", "mean", "sd", F.get("q", F.lit(0)).alias("median"), "min", "max")
     for c in codes:
         parts = parts.unionByName(df.groupBy(F.col(c).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("variable"), "level", "n", *empty))
     some = F.lit(False)
@@ -70,7 +69,8 @@ def coverage_report(components: DataFrame, person: str = "ext_genid") -> DataFra
 
 
 def hw_count_report(components: DataFrame, hw_def: str = "tmax_p90_d3") -> DataFrame:
-    return components.where(F.col("hw_def") == hw_def).groupBy("window").agg(F.avg("hw_count").alias("mean"), F.percentile("hw_count", F.lit(0.5)).alias("median"), F.max("hw_count").alias("max"))
+    found = quantiles.grouped(components.where(F.col("hw_def") == hw_def), ["window"], "hw_count", [0.5], [F.avg("hw_count").alias("mean"), F.max("hw_count").cast("int").alias("max")])
+    return found.select("window", "mean", F.get("q", F.lit(0)).alias("median"), "max")
 
 
 def wave(df: DataFrame, k: int, name: str = "redcap_event_name") -> DataFrame:
@@ -81,8 +81,8 @@ def wave(df: DataFrame, k: int, name: str = "redcap_event_name") -> DataFrame:
 def describe_numbers(df: DataFrame, numbers: list[str]) -> DataFrame:
     """variable, position, n, n_missing, mean, sd, median, p25, p75, min, max of whole-table numbers, in the order given."""
     long = df.select(*[F.col(v).cast("double").alias(v) for v in numbers]).unpivot([], numbers, "variable", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    out = long.groupBy("variable").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q, F.min("value").alias("min"), F.max("value").alias("max"))
+    sums = [F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max")]
+    out = quantiles.grouped(long, ["variable"], "value", [0.25, 0.5, 0.75], sums)
     place = F.array_position(F.array(*map(F.lit, numbers)), F.col("variable")).cast("int").alias("position")
     return out.select("variable", place, "n", "n_missing", "mean", "sd", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(2)).alias("p75"), "min", "max").orderBy("position")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.operators import quantiles
 
 
 def _long(daily: DataFrame, metrics: dict[str, str], keys) -> DataFrame:
@@ -18,7 +19,6 @@ def thresholds(daily: DataFrame, metrics: dict[str, str], percents=(90.0, 92.5,
 
     Percentiles interpolate linearly, and all come from one pass. Seasonal ones pool the days within half_window days of
     the year, around its end, over all years: a day goes to each of the 2 * half_window + 1 it counts for."""
-    at = F.array(*[F.lit(p / 100) for p in percents])
     rows = _long(daily, metrics, keys)
     group = [*keys, "metric"]
     if mode == "seasonal":
@@ -27,7 +27,7 @@ def thresholds(daily: DataFrame, metrics: dict[str, str], percents=(90.0, 92.5,
         group.append("doy")
     elif mode != "fixed":
         raise ValueError("mode is 'fixed' or 'seasonal'")
-    found = rows.groupBy(*group).agg(F.percentile("value", at).alias("q"))
+    found = quantiles.grouped(rows, group, "value", [p / 100 for p in percents], [])
     named = F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), F.coalesce("q", F.array(*[F.lit(None).cast("double")] * len(percents))).alias("threshold"))
     return found.select(*group, F.explode(named).alias("z")).select(*group, F.col("z.percent"), F.col("z.threshold"))
 

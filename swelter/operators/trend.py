@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.operators import quantiles
 from swelter.sources import shared
 
 
 def annual_summary(df: DataFrame, value: str, high: float = 2.0, keys=("city",)) -> DataFrame:
-    return df.groupBy(*keys, F.year("date").alias("year")).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.9)).alias("p90"), F.max(value).alias("max"), F.count_if(F.col(value) > high).alias("n_high")
-    )
+    sums = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(value) > high).alias("n_high")]
+    found = quantiles.grouped(df.withColumn("year", F.year("date")), [*keys, "year"], value, [0.9], sums)
+    return found.select(*keys, "year", "n", "mean", F.get("q", F.lit(0)).alias("p90"), "max", "n_high")
 
 
 def head_tail_by_group(df: DataFrame, order: str, n: int = 4, keys=("city",)) -> DataFrame:
@@ -34,8 +35,9 @@ def symmetric_limit(df: DataFrame, value: str) -> DataFrame:
 
 def period_summary(df: DataFrame, value: str, flag: str, keys=("city",)) -> DataFrame:
     """Distribution of a value on flagged days, per group and period."""
-    period = C.period_bucket(F.year("date")).alias("period")
-    return df.where(flag).groupBy(*keys, period).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.9)).alias("p90"), F.max(value).alias("max"))
+    rows = df.where(flag).withColumn("period", C.period_bucket(F.year("date")))
+    found = quantiles.grouped(rows, [*keys, "period"], value, [0.9], [F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max")])
+    return found.select(*keys, "period", "n", "mean", F.get("q", F.lit(0)).alias("p90"), "max")
 
 
 def trend_sums(df: DataFrame, y: str, x: str, keys=("city",)) -> DataFrame:
