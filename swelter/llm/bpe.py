@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from . import scratch
 
 #: Characters of text in a block, which share one queue; a longer text is a block of its own.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: A whitespace character before a space: only such texts need the pattern to find their chunks.
 _RUN = re.compile(r"\s ")
 _CHUNK = re.compile(r"\s*\S+|\s+")

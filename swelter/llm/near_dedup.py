@@ -39,6 +39,8 @@ HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
 LEADERS, MOST_LEADERS = 64, 256
 #: Longs of a text's parity bits.
 PARITY = 8
+#: Hashes of shingles that are made at a time.
+HASHED = 500_000
 #: Pairs of one node that are aligned together; a node with more has its words dealt to several tasks.
 SPLIT = 16_384
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -92,7 +94,7 @@ def order_minhash(x, hashes: int, size: int, salt: int):
     if len(x) < size:
         return np.zeros(0, np.int64)
     flip, factor = _salts(hashes, salt)
-    step, out = max(1, 2_000_000 // len(x)), []
+    step, out = max(1, HASHED // len(x)), []
     for lo in range(0, hashes, step):
         h = (x[None, :] ^ flip[lo : lo + step, None]) * factor[lo : lo + step, None]
         m = len(h)
