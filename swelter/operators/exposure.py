@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
+from swelter.operators import event_ranges
 
 SPAN = ["window_start", "window_end"]
 
@@ -74,8 +75,9 @@ def clip_events_to_windows(windows: DataFrame, events: DataFrame, keys=("city",)
     return both.withColumn("duration_ratio", F.col("clipped_duration") / F.col("duration"))
 
 
-def window_heatwave_metrics(clipped: DataFrame, keys=("city",)) -> DataFrame:
-    """Heat-wave metrics of each window and definition that has an event."""
+def window_heatwave_metrics_by_join(clipped: DataFrame, keys=("city",)) -> DataFrame:
+    """Heat-wave metrics of each window and definition that has an event, from a row for each overlap: the plain twin of
+    event_ranges.window_event_metrics."""
     load = F.sum(F.col("degree_days") * F.col("duration_ratio"))
     apparent = F.col("hw_def").startswith("apparent_")
     return clipped.groupBy(*keys, *SPAN, "hw_def").agg(
@@ -89,9 +91,10 @@ def precip_climatology(daily: DataFrame, keys=("city",)) -> DataFrame:
     return daily.groupBy(*keys, F.dayofyear("date").alias("doy")).agg(F.avg("precip_total").alias("clim_precip"))
 
 
-def precip_deficit(clipped: DataFrame, daily: DataFrame, keys=("city",)) -> DataFrame:
-    """Mean precipitation of a window's heat-wave days less the mean climatology over their days of the year. A first
-    grouping by day of the year makes both means from one pass, as a definition's days are disjoint."""
+def precip_deficit_by_join(clipped: DataFrame, daily: DataFrame, keys=("city",)) -> DataFrame:
+    """Mean precipitation of a window's heat-wave days less the mean climatology over their days of the year, from a row for
+    each of these days: the plain twin of event_ranges.window_event_metrics. A first grouping by day of the year makes both
+    means from one pass, as a definition's days are disjoint."""
     days = clipped.select(*keys, *SPAN, "hw_def", F.explode(F.sequence("clipped_start", "clipped_end")).alias("date"))
     rain = days.join(daily.select(*keys, "date", "precip_total"), [*keys, "date"])
     per_doy = rain.groupBy(*keys, *SPAN, "hw_def", F.dayofyear("date").alias("doy")).agg(F.sum("precip_total").alias("s"), F.count("precip_total").alias("n"))
@@ -108,10 +111,9 @@ def exposure_scaffold(windows: DataFrame, definitions: DataFrame) -> DataFrame:
 def exposure_components(windows: DataFrame, daily: DataFrame, events: DataFrame, definitions: DataFrame, keys=("city",)) -> DataFrame:
     """All exposure metrics per person, window and definition. Windows that are no proper span have null metrics; proper
     ones without an event have count and days 0 and null metrics."""
-    clipped = clip_events_to_windows(windows, events, keys)
     on = [*keys, *SPAN]
     out = exposure_scaffold(windows, definitions).join(window_climate(windows, daily, keys), on, "left")
-    out = out.join(window_heatwave_metrics(clipped, keys), [*on, "hw_def"], "left").join(precip_deficit(clipped, daily, keys), [*on, "hw_def"], "left")
+    out = out.join(event_ranges.window_event_metrics(windows, daily, events, keys), [*on, "hw_def"], "left")
     proper = F.col("window_end").isNotNull() & F.col("window_start").isNotNull() & (F.col("window_end") >= F.col("window_start"))
     zero = {c: F.when(proper, F.coalesce(F.col(c), F.lit(0))) for c in ("hw_count", "hw_total_days")}
     return out.withColumns(zero)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
-from swelter.operators import analytical, clean, cohort, events, exposure, features, index, pca, thresholds, trend
+from swelter.operators import analytical, clean, cohort, event_ranges, events, exposure, features, index, pca, thresholds, trend
 from swelter.plans import adapters as A
 from swelter.sources import shared, stations
 
@@ -354,12 +354,19 @@ def _climate_join(spark, d):
 
 @_query("window_hw_metrics", _select("city window_start window_end hw_def hw_count:i hw_mean_excess:d hw_max_excess:d hw_total_days:i hw_mean_duration:d hw_degree_days:d hw_mean_humidity:d hw_apparent_excess:d", "hm", f"{_E}, {_WIN}, {_CLIP}, {_HW}"))
 def _hw_metrics(spark, d):
-    return exposure.window_heatwave_metrics(exposure.clip_events_to_windows(A.windows(spark, d), _events(spark, d)))
+    return event_ranges.window_event_metrics(A.windows(spark, d), A.full_daily(spark, d), _events(spark, d), deficit=False)
+
+
+@_query("window_hw_metrics_by_join", SQL["window_hw_metrics"])
+def _hw_metrics_by_join(spark, d):
+    """The same from a row for each overlap."""
+    return exposure.window_heatwave_metrics_by_join(exposure.clip_events_to_windows(A.windows(spark, d), _events(spark, d)))
 
 
 @_query("precip_deficit", _select("city window_start window_end hw_def precip_deficit:d", "pdf", f"{_E}, {_WIN}, {_CLIP}, {_PD}"))
 def _deficit(spark, d):
-    return exposure.precip_deficit(exposure.clip_events_to_windows(A.windows(spark, d), _events(spark, d)), A.full_daily(spark, d))
+    found = event_ranges.window_event_metrics(A.windows(spark, d), A.full_daily(spark, d), _events(spark, d))
+    return found.select("city", "window_start", "window_end", "hw_def", "precip_deficit")
 
 
 @_query("exposure_components", _select("ext_genid:i window hw_def coverage_frac:d hw_count:i hw_total_days:i hw_mean_excess:d hw_max_excess:d hw_mean_duration:d hw_degree_days:d hw_mean_humidity:d hw_apparent_excess:d precip_deficit:d mean_tmax:d mean_tmean:d days_above_p90:i mean_humidity:d total_precip:d tmax_sd:d", "comp", f"{_E}, {_WIN}, {_COMP}"))
