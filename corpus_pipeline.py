@@ -1,6 +1,12 @@
 """The corpus pipeline: documents go through five stages, each written as Parquet and reread by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Nulls: a null text counts as empty; a null doc_id, source or language is a value like another (the least doc_id for near duplicates). Empty and
+very short texts are judged by the classifier like others, and without a positive label that may be learned from it keeps everything. Rows
+with equal texts are copies, whatever their doc_ids: one stays, also where doc_ids repeat. Equal rows that the mix takes twice are there twice. Other columns
+go through unchanged, whatever their names; the last stage returns doc_id, n_tokens, ids_sha256, decoded_sha256 and ids. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -224,10 +224,12 @@ def score(x: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs without those that score under the cut, all columns as they are."""
+    """docs without those that score under the cut, all columns as they are. With no positive label nothing has been learned, and all stay."""
     import pyarrow as pa
 
     model, _ = learn(docs, labels, id_col, text_col)
+    if not model.weights.any():
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,4 +249,4 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model, x = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(x, model)
-    return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.lit(model.converged).alias("converged"))

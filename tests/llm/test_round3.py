@@ -405,3 +405,112 @@ def test_bpe_counts_are_the_librarys(spark):
     got = tc.bpe_counted(spark.createDataFrame(rows, "doc_id long, text string, source string"), path, P.PATTERN, F.col("source"), F.col("doc_id")).collect()
     key = lambda v: (v[1], v[2])
     assert sorted(map(tuple, got), key=key) == sorted(((s, i, len(lib.encode_ordinary(t or ""))) for i, t, s in rows), key=key)
+
+
+# ---- the pipeline
+
+
+def _tables(spark, path, docs, labels, schema="doc_id long, text string, lang string, source string, n_chars long, keep_id string, `digest` string, `copy` int"):
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return f"file://{path}"
+
+
+def test_pipeline_equals_brute_force_on_a_small_table(spark):
+    """Each stage against a plain version over what the stage before kept: scores by op4 (which has its own brute force), a dictionary, all pairs, sums by source,
+    and the tokenizer library."""
+    import base64
+    import sys
+
+    import tiktoken
+
+    import corpus_pipeline as p
+    from swelter.llm import near_dedup, quality_classifier
+
+    sys.path.append("/opt/tokenizers")
+    import public_tokenizers as P
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    whole = {x.doc_id: x for x in docs.collect()}
+    run, ids = dict(p.STAGES), lambda df: sorted(x.doc_id for x in df.collect())
+    after = {}
+    for name, stage in p.STAGES[:-1]:
+        docs = p.scratch.written(stage(spark, docs, d), name)
+        after[name] = docs.collect()
+        assert all(x == whole[x.doc_id] for x in after[name])
+    kept = {name: [x.doc_id for x in rows] for name, rows in after.items()}
+    good = {x.doc_id for x in quality_classifier.op4_quality_classifier(spark, d).collect() if x.predicted}
+    assert sorted(kept["quality"]) == sorted(good)
+    last = {}
+    for i in sorted(good):
+        last[texts[i]] = i
+    assert sorted(kept["exact_dedup"]) == sorted(last.values())
+    left = sorted(last.values())
+    seqs = {i: near_dedup.shingles(near_dedup.sequence(near_dedup.words_of(texts[i]))) for i in left}
+    root = {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(left):
+        for j in left[:n]:
+            if near_dedup.words_of(texts[i]) == near_dedup.words_of(texts[j]) or near_dedup.similarity(seqs[i], seqs[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert sorted(kept["near_dedup"]) == sorted({find(i) for i in left})
+    size = lambda i: len(re.findall(r"[^\x20\x09-\x0D]+", texts[i]))
+    mixed = Counter(kept["mixing"])
+    assert max(mixed.values()) <= 2 and set(mixed) <= set(kept["near_dedup"])
+    by, taken, largest = Counter(), Counter(), Counter()
+    for i in kept["near_dedup"]:
+        s = whole[i].source
+        by[s] += size(i)
+        taken[s] += size(i) * mixed[i]
+        largest[s] = max(largest[s], size(i))
+    sources = sorted(by, key=lambda s: (s is None, s or ""))
+    weight, target, pool, free = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}, {}, 1.5 * sum(by.values()), set(sources)
+    while True:  # sources that would be taken more than twice stop there
+        share = {s: pool * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * by[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * by[s]
+            pool -= target[s]
+            free.discard(s)
+    for s in sources:
+        assert abs(taken[s] - target[s]) <= largest[s] + 0.01 * target[s], s
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = p.STAGES[-1][1](spark, docs, d).collect()
+    assert sorted(x.doc_id for x in out) == sorted(kept["mixing"]) and run and ids(docs) == sorted(kept["mixing"])
+    for x in out:
+        want = lib.encode_ordinary(texts[x.doc_id])
+        assert list(x["ids"]) == want and x.n_tokens == len(want) and x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_on_odd_input(spark, tmp_path):
+    import corpus_pipeline as p
+
+    odd = [(1, "a b c", "en", "s"), (2, "a b c", None, None), (2, "a b c", None, None), (3, None, "en", "s"), (4, "", "", ""), (5, "a b c ", "en", "s"), (None, "a b c", "en", "t"), (None, "x " * 7, None, "t"), (6, "w " * 30_000, "en", "s"), (6, "v " * 50, "en", "s")]
+    rows = [(*x, None, "k", "d", 1) for x in odd]
+    d = _tables(spark, tmp_path / "odd", rows, [(1, 1, 0), (None, 0, 0), (3, None, None), (3, 1, 0)])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = p.run(spark, d).collect()
+    digests = {hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in odd}
+    assert got and {x.decoded_sha256 for x in got} <= digests
+    for name, stage in p.STAGES[:-1]:
+        docs = p.scratch.written(stage(spark, docs, d), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep_id", "digest", "copy"], name
+        assert {x.keep_id for x in docs.collect()} <= {"k"}
+    # no labels at all: the classifier keeps everything, and one row of each text stays
+    d = _tables(spark, tmp_path / "unlabelled", rows, [])
+    kept = p.exact(spark, p.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d), d).collect()
+    assert sorted((x.text or "") for x in kept) == sorted({t or "" for _, t, *_ in odd})
+    d = _tables(spark, tmp_path / "empty", [], [])
+    assert p.run(spark, d).count() == 0
