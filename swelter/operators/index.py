@@ -71,24 +71,37 @@ def build_index(components: DataFrame, person: str = "ext_genid", metrics=None,
     return scores, loadings
 
 
-def average_ranks(df: DataFrame, value: str, name: str, keys) -> DataFrame:
-    """Ranks with ties averaged. Distinct values are counted and dealt to tasks by range; a task's running counts start
-    from what the ranges before it hold of the group, so no task needs a whole group, however many values it has."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    counts = shared.written(counts.repartitionByRange(*keys, value).withColumn("__range", F.spark_partition_id()), "counts")
+def _ranks(df: DataFrame, columns: list[str], keys) -> DataFrame:
+    """keys, __column, __value, __rank, __n: the average rank of every distinct value of each column within its group, and its rows.
+    Distinct values of all columns are counted together and dealt to tasks by range; a task's running counts start from what
+    the ranges before it hold of the group, so no task needs a whole group, however many values it has."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("__column"), F.col(c).cast("double").alias("__value")) for k, c in enumerate(columns)])).alias("__x")).select(*keys, "__x.*")
+    group = [*keys, "__column"]
+    counts = long.groupBy(*group, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    counts = shared.written(counts.repartitionByRange(*group, "__value").withColumn("__range", F.spark_partition_id()), "counts")
     # a row for each range and group
-    before = F.sum("__all").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.groupBy(*keys, "__range").agg(F.sum("__n").alias("__all")).withColumn("__from", F.coalesce(before, F.lit(0))).drop("__all")
-    upto = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("__upto", upto).join(starts, [*keys, "__range"])
-    ranks = ranked.select(*keys, value, (F.col("__from") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    before = F.sum("__all").over(Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.groupBy(*group, "__range").agg(F.sum("__n").alias("__all")).withColumn("__from", F.coalesce(before, F.lit(0))).drop("__all")
+    upto = F.sum("__n").over(Window.partitionBy(*group, "__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("__upto", upto).join(starts, [*group, "__range"])
+    return shared.written(ranked.select(*group, "__value", "__n", (F.col("__from") + F.col("__upto") - (F.col("__n") - 1) / 2).alias("__rank")), "ranks")
+
+
+def average_ranks(df: DataFrame, value: str | list[str], name: str | list[str], keys) -> DataFrame:
+    """df with the rank of each row's value within its group, ties averaged; of several columns at once if lists are given. Values that many rows
+    share are joined by broadcast, so those rows stay where they are, and the others by a shuffle on group and value. Groups and values must not be null."""
+    values, names = ([value], [name]) if isinstance(value, str) else (value, name)
+    ranks, total = _ranks(df, values, list(keys)), df.count()
+    for k, (v, n) in enumerate(zip(values, names)):
+        own = ranks.where(F.col("__column") == k).select(*keys, F.col("__value").alias("__on"), F.col("__rank").alias(n), "__n")
+        df = shared.join_split_hot(df.withColumn("__on", F.col(v).cast("double")), own, [*keys, "__on"], "__n", total).drop("__on", "__n")
+    return df
 
 
 def spearman_by_group(df: DataFrame, x: str, y: str, keys=tuple(GROUP)) -> DataFrame:
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = average_ranks(average_ranks(rows, x, "__rx", keys), y, "__ry", keys)
-    # null where all ranks of a side are tied
+    """Spearman's correlation of two columns in each group, over rows that have both; null where all ranks of a side are tied."""
+    rows = shared.written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), "pairs")
+    ranked = average_ranks(rows, [x, y], ["__rx", "__ry"], keys)
     share = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
     return ranked.groupBy(*keys).agg(share.alias("spearman"), F.count(F.lit(1)).alias("n"))
 

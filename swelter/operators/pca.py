@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swelter.sources import shared
+
 
 def moments(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, i, j, n, sx (sum of column i), sxy (sum of the products of columns i and j) over complete rows.
@@ -99,4 +101,4 @@ def component_correlations(loadings: DataFrame) -> DataFrame:
 
 def describe_loadings(loadings: DataFrame, labels: DataFrame) -> DataFrame:
     """Loadings with the label and group of each variable (variable, label, group)."""
-    return loadings.join(F.broadcast(labels), "variable", "left")
+    return loadings.join(shared.small(labels), "variable", "left")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from swelter.sources import shared
 
-#: Rows up to which a group's quantiles are made by `percentile`; values between brackets that are gathered; groups whose state may be broadcast.
-LARGE, GATHER, BROADCAST_ROWS = 1_000_000, 4_096, 100_000
+#: Rows up to which a group's quantiles are made by `percentile`; values between brackets that are gathered.
+LARGE, GATHER = 1_000_000, 4_096
 #: Values that a sketch gives, and its accuracy.
 SPLITS, ACCURACY = 200, 10_000
 
@@ -30,10 +30,6 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, on, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
-
-
 def _sketch(value: Column) -> Column:
     return F.percentile_approx(value, [k / SPLITS for k in range(SPLITS + 1)], ACCURACY)
 
@@ -62,7 +58,7 @@ def _select(own: DataFrame, large: DataFrame, keys: list[str], ranks: dict[str,
         left = state.where(any_open)
         if not left.head(1):
             return state.select(*keys, *[F.col(f"{t}.found").alias(t) for t in names])
-        both, aggs = _same(own, _small(left), keys), []
+        both, aggs = _same(own, shared.small(left), keys), []
         for t in names:
             s = lambda f: F.col(f"{t}.{f}")  # noqa: B023, E731
             above, below = s("lo").isNull() | (v > s("lo")), s("hi").isNull() | (v < s("hi"))
@@ -94,7 +90,7 @@ def _select(own: DataFrame, large: DataFrame, keys: list[str], ranks: dict[str,
         for m in missing[1:]:
             lost = lost | m
         if moved.where(lost).head(1):
-            again = _same(own, _small(moved.where(lost)), keys)
+            again = _same(own, shared.small(moved.where(lost)), keys)
             inside = lambda t: (F.col(f"{t}.lo").isNull() | (v > F.col(f"{t}.lo"))) & (F.col(f"{t}.hi").isNull() | (v < F.col(f"{t}.hi")))
             sketches = again.groupBy(*keys).agg(*[_sketch(F.when(inside(t), v)).alias(f"{t}_sketch") for t in names])
             moved = _same(moved, sketches, keys, "left").select(*keys, *[F.when(F.col(f"{t}.sketch").isNull(), F.col(t).withField("sketch", F.col(f"{t}_sketch"))).otherwise(F.col(t)).alias(t) for t in names])
@@ -110,8 +106,8 @@ def grouped(df: DataFrame, keys: list[str], value: str, probs: list[float], aggs
     plain = lambda part: part.groupBy(*keys).agg(*aggs, F.percentile(value, F.array(*map(F.lit, probs))).alias(name))
     if not large.head(1):
         return plain(rows)
-    rest = _same(rows, _small(large.select(*keys)), keys, "left_anti")
-    own = _same(rows, _small(large.select(*keys)), keys, "left_semi")
+    rest = _same(rows, shared.small(large.select(*keys)), keys, "left_anti")
+    own = _same(rows, shared.small(large.select(*keys)), keys, "left_semi")
     at = {f"t{k}": (F.col("n") - 1) * p for k, p in enumerate(probs)}
     ranks = {f"{t}_{side}": f(x) for t, x in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
     found = _select(own.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value")), large, keys, ranks)

@@ -19,8 +19,8 @@ from swelter.sources import shared
 
 #: Bytes at the end of an archive in which its table of contents is looked for first; the whole archive is taken where it is longer.
 TAIL = 1 << 20
-#: Rows of chosen members that may be broadcast, and lines that leave a task together.
-BROADCAST_ROWS, LINES = 100_000, 20_000
+#: Lines that leave a task together.
+LINES = 20_000
 _CONTENTS = "archive string, name string, start long, span long, packed long, size long, crc long, method int, encrypted boolean, damage string"
 _LINES = "archive string, name string, line_no int, line string, damage string"
 
@@ -71,15 +71,10 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     short = first.where("short").select("archive").distinct()
     if not short.head(1):
         return first.drop("short")
-    whole = listed(files.join(_small(short), "archive", "left_semi").select("archive", F.col("content").alias("tail"), "length"))
+    whole = listed(files.join(shared.small(short), "archive", "left_semi").select("archive", F.col("content").alias("tail"), "length"))
     return first.where("NOT short").unionByName(whole).drop("short")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
-
-
 def unpacked(member: bytes, packed: int, method: int) -> Iterator[bytes]:
     """The bytes of a member (local header first) in parts."""
     if member[:4] != b"PK\x03\x04":
@@ -127,7 +122,7 @@ def member_lines(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame
     by_archive = chosen.where("damage IS NULL").groupBy("archive").agg(F.collect_set(F.struct(*fields)).alias("members"))
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
     cut = F.expr("transform(members, m -> struct(m AS told, substring(content, CAST(m.start + 1 AS INT), CAST(m.span AS INT)) AS bytes))")
-    slices = files.join(_small(by_archive), "archive").select("archive", F.explode(cut).alias("m")).select("archive", "m.told.*", "m.bytes")
+    slices = files.join(shared.small(by_archive), "archive").select("archive", F.explode(cut).alias("m")).select("archive", "m.told.*", "m.bytes")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -77,7 +77,7 @@ def archive_lines(spark: SparkSession, path: str, stations_: DataFrame) -> tuple
     chosen = shared.written(chosen_members(listed, stations_), "chosen-members")
     lines = archives.member_lines(spark, path, chosen)
     members = chosen.select("archive", "name", "city")
-    with_city = lines.join(F.broadcast(members) if chosen.count() <= archives.BROADCAST_ROWS else members, ["archive", "name"])
+    with_city = lines.join(shared.small(members), ["archive", "name"])
     return with_city.where("damage IS NULL").drop("damage"), archives.damage(listed, lines)
 
 

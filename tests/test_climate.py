@@ -452,3 +452,38 @@ def test_joint_components_take_all_variables(spark):
         got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert len(got) == k * k and abs(sum({x.component: x.eigenvalue for x in got}.values()) - k) < k * 1e-6  # each rounded to 6 places
     assert registry.QUERIES["joint_pca_scores"](spark, "/root/testdata/sf0.001").where("PC4 IS NOT NULL").head(1)
+
+
+def test_hot_ties_spread_over_tasks(spark, monkeypatch):
+    """Nine tenths of the rows share one value: they are joined by broadcast, and both columns' ranks are right."""
+    import random
+
+    import pandas as pd
+
+    from swelter.operators import index
+    from swelter.sources import shared
+
+    monkeypatch.setattr(shared, "HOT_SHARE", 20)
+    r = random.Random(4)
+    rows = [("g" if k % 4 else "h", 5.0 if r.random() < 0.9 else float(r.randrange(40)), r.random() if r.random() < 0.5 else 0.25) for k in range(2000)] + [("c", 1.0, float(k)) for k in range(9)] + [("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    ranked = index.average_ranks(df.where("x IS NOT NULL"), ["x", "y"], ["rx", "ry"], ["g"])
+    assert "BroadcastHashJoin" in ranked._jdf.queryExecution().toString()
+    got = ranked.toPandas()
+    assert len(got) == 2009 and (got.groupby("g").x.rank() == got.rx).all() and (got.groupby("g").y.rank() == got.ry).all()
+    want = pd.DataFrame(rows, columns=["g", "x", "y"]).dropna().groupby("g").apply(lambda p: p.x.rank().corr(p.y.rank()), include_groups=False)
+    for x in index.spearman_by_group(df, "x", "y", ("g",)).collect():
+        assert x.n == (9 if x.g == "c" else len([q for q in rows if q[0] == x.g])) and (x.spearman is None if x.g == "c" else abs(x.spearman - want[x.g]) < 1e-9)
+
+
+def test_folders_are_removed_after_a_mark(spark, tmp_path):
+    import os
+
+    from swelter.sources import shared
+
+    since = shared.mark()
+    held = shared.written(spark.range(5), "some")
+    path = held.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert held.count() == 5 and os.path.exists(path)
+    shared.remove(spark, since)
+    assert not os.path.exists(path) and shared.mark() == since
