@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swelter.sources import shared
+
 #: A side with at most so many rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 #: A key with more than 1/HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
@@ -17,26 +14,11 @@ HOT_SHARE = 1000
 #: Joins of at most so many rows are left whole: one task can hold them all.
 SMALL_JOIN = 50_000
 
-_own: dict[str, str] = {}
 #: (name, path) of the tables written by this process, in order.
 _tables: list[tuple[str, str]] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; in local mode without that setting, a folder of this process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="swelter-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return f"file://{_own['dir']}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+new_path, ship = shared.new_folder, shared.ship
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -93,25 +75,3 @@ def join_split_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size_col
     over_hot = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(~is_hot), keys)
     return over_hot.unionByName(rest)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
-    import os
-    import zipfile
-
-    sc = spark.sparkContext
-    key = f"shipped-{sc.applicationId}"
-    if key in _own:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp(prefix="swelter-py-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/{package}_workers.zip", "w") as z:
-        for d, _, names in os.walk(os.path.join(top, package)):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
-    sc.addPyFile(f"{folder}/{package}_workers.zip")
-    _own[key] = folder
