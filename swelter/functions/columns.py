@@ -90,6 +90,19 @@ def hw_label(metric: Column, percent: Column, days: Column) -> Column:
     return F.concat(metric, F.lit("_p"), F.regexp_replace(F.format_string("%s", percent.cast("decimal(5,1)")), r"\.0$|\.", ""), F.lit("_d"), days.cast("string"))
 
 
+#: What the index' metrics and windows are called.
+METRIC_LABELS = {
+    "hw_count": "HW count", "hw_total_days": "Total HW days", "hw_mean_excess": "Mean excess temp", "hw_degree_days": "Degree-days", "hw_mean_humidity": "Mean humidity",
+    "hw_apparent_excess": "Apparent temp excess",
+}
+WINDOW_LABELS = {"6_10": "6–10 years", "11_18": "11–18 years", "cumulative": "Cumulative"}
+
+
+def labelled(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; null where there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), code)
+
+
 def parsed_label(label: Column) -> Column:
     """A definition's metric, percentile as text (92.5th), shortest duration as text (≥3d) and a short name."""
     digits = F.regexp_extract(label, r"_p([0-9]+)_", 1)

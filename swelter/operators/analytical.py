@@ -87,6 +87,27 @@ def describe_numbers(df: DataFrame, numbers: list[str]) -> DataFrame:
     return out.select("variable", place, "n", "n_missing", "mean", "sd", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(2)).alias("p75"), "min", "max").orderBy("position")
 
 
+def describe_wave(df: DataFrame, numbers: list[str], codes: list[str], any_of: list[str]) -> DataFrame:
+    """variable, level, n_total, n_nonmiss, mean, sd, median, p25, p75, min, max: the numbers, the rows of each code, and the rows that have any of any_of."""
+    stats = ["mean", "sd", "median", "p25", "p75", "min", "max"]
+    n = df.count()
+    names = ["variable", "level", "n_total", "n_nonmiss", *stats]
+    no_level, none = F.lit(None).cast("string").alias("level"), [F.lit(None).cast("double").alias(c) for c in stats]
+    total = F.lit(n).cast("long").alias("n_total")
+    out = describe_numbers(df, numbers).select("variable", no_level, total, F.col("n").alias("n_nonmiss"), *stats)
+    for c in codes:
+        counted = df.groupBy(F.col(c).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n_nonmiss"))
+        out = out.unionByName(counted.select(F.lit(c).alias("variable"), "level", total, "n_nonmiss", *none))
+    some = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in any_of])
+    return out.unionByName(df.agg(F.count(some).alias("n_nonmiss")).select(F.lit("any_index").alias("variable"), no_level, total, "n_nonmiss", *none)).select(*names)
+
+
+def column_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """variable, n (rows that have it), n_rows."""
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in names])
+    return counted.unpivot(["n_rows"], names, "variable", "n").select("variable", "n", "n_rows")
+
+
 def stack(*tables: DataFrame) -> DataFrame:
     """Tables one under the other by column name; a column that a table lacks is null."""
     out = tables[0]

@@ -22,10 +22,10 @@ SPAN = ["window_start", "window_end"]
 #: Longs of a set of days of the year, and bits that each holds.
 WORDS, BITS = 7, 60
 _E = ["start", "end", "duration", "mean_excess", "degree_days", "mean_humidity"]
-#: Running sums over events: name and term.
+#: Running sums over events: name and SQL of the term.
 _SUMS = {
-    "days": F.col("duration"), "load": F.coalesce("degree_days", F.lit(0.0)), "excess": F.coalesce("mean_excess", F.lit(0.0)), "n_excess": F.col("mean_excess").isNotNull().cast("long"),
-    "humid": F.coalesce("mean_humidity", F.lit(0.0)), "n_humid": F.col("mean_humidity").isNotNull().cast("long"), "rain": F.col("rain"), "n_rain": F.col("n_rain"),
+    "days": "duration", "load": "coalesce(degree_days, 0D)", "excess": "coalesce(mean_excess, 0D)", "n_excess": "CAST(mean_excess IS NOT NULL AS LONG)",
+    "humid": "coalesce(mean_humidity, 0D)", "n_humid": "CAST(mean_humidity IS NOT NULL AS LONG)", "rain": "rain", "n_rain": "n_rain",
 }
 
 
@@ -75,7 +75,7 @@ def event_table(events: DataFrame, rain: DataFrame, keys) -> DataFrame:
     rows = rows.withColumns({"rain": F.col("hi_rain") - F.col("lo_rain"), "n_rain": F.col("hi_n_rain") - F.col("lo_n_rain")})
     w = Window.partitionBy(*keys, "hw_def").orderBy("start")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"place": F.row_number().over(w)} | {f"upto_{n}": F.sum(t).over(upto) for n, t in _SUMS.items()})
+    rows = rows.withColumns({"place": F.row_number().over(w)} | {f"upto_{n}": F.sum(F.expr(t)).over(upto) for n, t in _SUMS.items()})
     rows = rows.withColumn("b0", F.struct(F.col("mean_excess").alias("excess"), days_of_year("`start`", "`end`").alias("set")))
     levels = max(1, int(most).bit_length())
     for k in range(1, levels):

@@ -48,6 +48,14 @@ def hw_definitions(spark, metrics=("tmax", "apparent"), percents=(90.0, 92.5, 95
     return df.withColumn("hw_def", C.hw_label(F.col("metric"), F.col("percent"), F.col("days")))
 
 
+def union_of_definitions(*tables: DataFrame) -> DataFrame:
+    """hw_def of every definition that one of the tables has, once."""
+    out = tables[0].select("hw_def")
+    for t in tables[1:]:
+        out = out.union(t.select("hw_def"))
+    return out.distinct()
+
+
 def event_counts(events: DataFrame, keys=("city",)) -> DataFrame:
     return events.groupBy(*keys, "hw_def").agg(F.count(F.lit(1)).alias("n_events"), F.sum("duration").alias("n_days"))
 

@@ -66,6 +66,12 @@ def zscore_within(df: DataFrame, columns: list[str], keys=("city",), raw: str |
     return out.withColumns(z).select(*df.columns, *([f"{c}{raw}" for c in columns] if raw else []))
 
 
+def recent_years(df: DataFrame, years: int, date: str = "date") -> DataFrame:
+    """Rows of the table's last `years` calendar years."""
+    last = df.agg(F.max(F.year(date))).first()[0]
+    return df.where(F.year(date) > last - years) if last is not None else df
+
+
 def rolling_features(df: DataFrame, sums: dict[str, tuple], means: dict[str, tuple], lags: dict[str, tuple], keys=("city",), date: str = "date") -> DataFrame:
     """Right-aligned rolling sums (missing is 0), means and maxima (missing skipped) and lags in calendar days; null
     before the n-th day of a series. df needs a complete calendar. All frames share one sort."""

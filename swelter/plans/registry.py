@@ -509,4 +509,4 @@ def _climatology(spark, d):
     return exposure.precip_climatology(A.full_daily(spark, d))
 
 
-from swelter.plans import files, models  # noqa: E402, F401  (they register their queries)
+from swelter.plans import chains, files, models  # noqa: E402, F401  (they register their queries)

@@ -75,3 +75,13 @@ def test_no_events_and_no_windows(spark):
     x = event_ranges.window_event_metrics(w, d, e).first()
     assert (x.hw_count, x.hw_total_days, x.precip_deficit) == (1, 1, 0.0)
     assert event_ranges.window_event_metrics(w, d.withColumn("precip_total", F.lit(None).cast("double")), e).first().precip_deficit is None
+
+
+def test_the_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=top, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[0]) > 80, done.stderr
