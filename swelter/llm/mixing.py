@@ -8,7 +8,7 @@ exponential, continued as a straight line where it reaches most_rate. A document
 tilt exp(lambda of its source + mu of its language), at most most_rate.
 
 Newton runs on the joint dual with its full Hessian. Its source block is diagonal and is eliminated on the executors,
-so sources may be many; what is left has a row for each language (at most MOST_VALUES), is summed by executors from the
+so sources may be many; what is left has a row for each language (those with the fewest words are one where there are over MOST_VALUES), is summed by executors from the
 corpus' cells (distinct pairs of source and language, which one pre-aggregating shuffle makes) and solved by the driver.
 A step is halved until the dual falls enough; steps that run out are an error.
 
@@ -92,15 +92,20 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 def balance(cells: DataFrame, by: str, soft_by: str | None = None, tokens: str = "tokens", target: str = "target", most_rate: float = 2.0, soft: float = SOFT) -> DataFrame:
     """cells with rate. cells: a row for each pair of `by` and `soft_by`, with its tokens and the target of its `by`
-    value. The targets of soft_by keep the values' shares of all tokens. Sources without tokens have rate 1."""
+    value. The targets of soft_by keep the values' shares of all tokens. Of more than MOST_VALUES values those with the fewest tokens are one: they
+    share a target, and a source's rate is the same for all of them. Sources without tokens have rate 1."""
     spark, top = cells.sparkSession, float(most_rate)
-    values = [r[0] for r in cells.groupBy(soft_by).agg(F.sum(tokens)).select(soft_by).head(MOST_VALUES + 1)] if soft_by else [None]
-    if len(values) > MOST_VALUES:
-        raise ValueError(f"{soft_by} has over {MOST_VALUES} values")
+    values, rest = [None], False
+    if soft_by:
+        largest = cells.groupBy(soft_by).agg(F.sum(tokens).alias("__t")).orderBy(F.desc_nulls_last("__t"), soft_by).select(soft_by).head(MOST_VALUES + 1)
+        rest = len(largest) > MOST_VALUES
+        values = [r[0] for r in (largest[: MOST_VALUES - 1] if rest else largest)]
     values.sort(key=lambda v: (v is None, v))
-    n, of_source = len(values), Window.partitionBy(by)
+    n, of_source = len(values) + rest, Window.partitionBy(by)
     named = F.coalesce(F.concat(F.lit("v"), F.col(soft_by).cast("string")), F.lit("null")) if soft_by else F.lit("null")
-    number = F.array_position(F.array(*[F.coalesce(F.concat(F.lit("v"), F.lit(v).cast("string")), F.lit("null")) for v in values]), named) - 1
+    listed = F.array(*[F.coalesce(F.concat(F.lit("v"), F.lit(v).cast("string")), F.lit("null")) for v in values]) if values else F.array().cast("array<string>")
+    place = F.array_position(listed, named) - 1
+    number = F.when(place >= 0, place).otherwise(n - 1) if rest else place
     start = cells.select(
         *cells.columns, number.cast("int").alias("__k"), F.col(tokens).cast("double").alias("__t"), F.col(target).cast("double").alias("__a"), F.sum(F.col(tokens).cast("double")).over(of_source).alias("__size"),
     )
@@ -120,7 +125,7 @@ def balance(cells: DataFrame, by: str, soft_by: str | None = None, tokens: str =
     b, mu = [(shares.get(k, (0.0,))[0] or 1e-300) * total_a / total_t for k in range(n)], [0.0] * n
 
     for step in range(1, MOST_STEPS + 2):
-        gap, system = _newton_system(state, by, top, n)
+        gap, system = _newton_system(state, by, top, n, rest)
         grad = [system.get((k, -1), 0.0) - b[k] * (1 - soft * mu[k]) for k in range(n)] if soft_by else [0.0]
         gap = max([gap, *[abs(x) / y for x, y in zip(grad, b) if y > 1e-200]])
         if gap < GAP:
@@ -153,10 +158,13 @@ def _mass_and_curvature(top: float) -> tuple[Column, Column]:
     return F.coalesce("__fixed", F.least(F.lit(top), e)) * t, F.when(free & (e < top), e * t).otherwise(0.0)
 
 
-def _newton_system(state: DataFrame, by: str, top: float, n: int) -> tuple[float, dict]:
+def _newton_system(state: DataFrame, by: str, top: float, n: int, merged: bool = False) -> tuple[float, dict]:
     """The largest relative gap of a source, and sums by (i, j): values (i, -1) mass, (i, -2) curvature, (i, -3) the
-    sources' part of the right side, (i, j) their part of the matrix. A source sends at most n * n numbers."""
+    sources' part of the right side, (i, j) their part of the matrix. A source sends at most n * n numbers. merged: a source may have several cells of one value."""
     m, h = _mass_and_curvature(top)
+    if merged:
+        state = state.groupBy(by, "__k").agg(F.sum(m).alias("__m"), F.sum(h).alias("__h"), *[F.first(c).alias(c) for c in ("__fixed", "__size", "__a")])
+        m, h = F.col("__m"), F.col("__h")
     cell = F.struct(F.col("__k").alias("k"), m.alias("m"), h.alias("h"))
     free = F.first(F.col("__fixed").isNull())
     # a source whose cells are all at the top rate has no curvature: a little keeps its block regular

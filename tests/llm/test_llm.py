@@ -206,9 +206,6 @@ def test_balancing_by_source_alone_and_without_an_end(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GAP", -1.0)
     with pytest.raises(RuntimeError):
         mixing.balance(df, "s")
-    monkeypatch.setattr(mixing, "MOST_VALUES", 1)
-    with pytest.raises(ValueError):
-        mixing.balance(df, "s", "tokens")
 
 
 def test_cuts_match_brute_force(spark):

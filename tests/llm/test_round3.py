@@ -514,3 +514,35 @@ def test_pipeline_on_odd_input(spark, tmp_path):
     assert sorted((x.text or "") for x in kept) == sorted({t or "" for _, t, *_ in odd})
     d = _tables(spark, tmp_path / "empty", [], [])
     assert p.run(spark, d).count() == 0
+
+
+# ---- mixing with many languages
+
+
+def test_languages_beyond_the_bound_share_a_rate(spark, monkeypatch):
+    from swelter.llm import mixing
+
+    r = random.Random(12)
+    cells = [(s, None if k == 7 else f"l{k}", r.randrange(1, 50) if k > 4 else 1000 + 100 * k + ord(s), t) for s, t in (("a", 9000.0), ("b", 3000.0), ("c", 7000.0)) for k in range(40) if r.random() < 0.9 or k < 5]
+    df = spark.createDataFrame(cells, "s string, lang string, tokens long, target double")
+    monkeypatch.setattr(mixing, "MOST_VALUES", 6)
+    got = {(x.s, x.lang): x.rate for x in mixing.balance(df, "s", "lang").collect()}
+    assert len(got) == len(cells)
+    for s, t in (("a", 9000.0), ("b", 3000.0), ("c", 7000.0)):
+        assert abs(sum(c[2] * got[c[:2]] for c in cells if c[0] == s) - min(t, 2 * sum(c[2] for c in cells if c[0] == s))) < 1e-4
+        assert len({round(got[c[:2]], 9) for c in cells if c[0] == s and c[1] not in ("l0", "l1", "l2", "l3", "l4")}) == 1
+        assert len({round(got[c[:2]], 6) for c in cells if c[0] == s}) > 1
+    # a bound that no table reaches gives what it gave before
+    monkeypatch.setattr(mixing, "MOST_VALUES", 40)
+    fine = {(x.s, x.lang): x.rate for x in mixing.balance(df, "s", "lang").collect()}
+    assert len({round(fine[c[:2]], 9) for c in cells if c[0] == "a"}) > 10
+
+
+def test_a_mix_of_more_languages_than_the_bound(spark, monkeypatch):
+    from swelter.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_VALUES", 10)
+    rows = [(k, "w " * (5 + k % 7), f"l{k % 60}", "xyz"[k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.mix(docs).groupBy("source").agg({"doc_id": "count"}).count()
+    assert taken == 3
