@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
@@ -14,20 +14,37 @@ def _long(daily: DataFrame, metrics: dict[str, str], keys) -> DataFrame:
     return daily.select(*keys, "date", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in metrics.items()])).alias("m")).select(*keys, "date", "m.*")
 
 
+def _seasonal(rows: DataFrame, group: list[str], probs: list[float], half: int) -> DataFrame:
+    """group, doy and q, the quantiles of the values within `half` days of each day of the year, for days that have one. A day of the year has one value a
+    year, and these are gathered once; a window of days then slides round the year over the gathered arrays, whose
+    first and last days lie at both ends. So a value is moved to its series once, and not to each of the days it counts for."""
+    gathered = rows.groupBy(*group, F.dayofyear("date").alias("doy")).agg(F.collect_list("value").alias("values"))
+    doys = rows.select(*group).distinct().select(*group, F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy"))
+    right = gathered.select(*[F.col(c).alias(f"__{c}") for c in [*group, "doy"]], "values")
+    on = [doys[c].eqNullSafe(right[f"__{c}"]) for c in [*group, "doy"]]
+    year = doys.join(right, on, "left").select(*group, "doy", "values")
+    ends = F.filter(F.array(F.col("doy") - 366, F.col("doy"), F.col("doy") + 366), lambda at: (at > -half) & (at <= 366 + half))
+    around = Window.partitionBy(*group).orderBy("__at").rowsBetween(-half, half)
+    pooled = year.withColumn("__at", F.explode(ends)).withColumn("__s", F.sort_array(F.flatten(F.collect_list("values").over(around))))
+    n = F.size("__s")
+    at = lambda p: (n - 1) * F.lit(p)
+    value = lambda k: F.get("__s", k.cast("int"))
+    q = F.array(*[value(F.floor(at(p))) + (value(F.ceil(at(p))) - value(F.floor(at(p)))) * (at(p) - F.floor(at(p))) for p in probs])
+    return pooled.where((F.col("__at") >= 1) & (F.col("__at") <= 366) & (n > 0)).select(*group, "doy", q.alias("q"))
+
+
 def thresholds(daily: DataFrame, metrics: dict[str, str], percents=(90.0, 92.5, 95.0), mode: str = "fixed", half_window: int = 7, keys=("city",)) -> DataFrame:
     """keys, metric, percent, threshold; in seasonal mode also doy 1..366. metrics: name -> column.
 
     Percentiles interpolate linearly, and all come from one pass. Seasonal ones pool the days within half_window days of
-    the year, around its end, over all years: a day goes to each of the 2 * half_window + 1 it counts for."""
-    rows = _long(daily, metrics, keys)
-    group = [*keys, "metric"]
+    the year, around its end, over all years (see `_seasonal`)."""
+    rows, group = _long(daily, metrics, keys), [*keys, "metric"]
     if mode == "seasonal":
-        doys = F.transform(F.sequence(F.lit(-half_window), F.lit(half_window)), lambda k: F.pmod(F.dayofyear("date") - 1 + k, F.lit(366)) + 1)
-        rows = rows.select(*group, "value", F.explode(doys).alias("doy"))
-        group.append("doy")
-    elif mode != "fixed":
+        found, group = _seasonal(rows, group, [p / 100 for p in percents], half_window), [*group, "doy"]
+    elif mode == "fixed":
+        found = quantiles.grouped(rows, group, "value", [p / 100 for p in percents], [])
+    else:
         raise ValueError("mode is 'fixed' or 'seasonal'")
-    found = quantiles.grouped(rows, group, "value", [p / 100 for p in percents], [])
     named = F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), F.coalesce("q", F.array(*[F.lit(None).cast("double")] * len(percents))).alias("threshold"))
     return found.select(*group, F.explode(named).alias("z")).select(*group, F.col("z.percent"), F.col("z.threshold"))
 

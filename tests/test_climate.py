@@ -487,3 +487,24 @@ def test_folders_are_removed_after_a_mark(spark, tmp_path):
     assert held.count() == 5 and os.path.exists(path)
     shared.remove(spark, since)
     assert not os.path.exists(path) and shared.mark() == since
+
+
+def test_seasonal_thresholds_slide_round_the_year(spark):
+    """Against pooling each day's window by hand: leap days, a window over the year's end, days without a value, two series."""
+    import random
+
+    from swelter.operators import thresholds
+
+    r = random.Random(6)
+    rows = [(c, day(k), None if r.random() < 0.1 else r.random() * 40) for c in (*"ab", None) for k in range(0, 1600, 1 if c == "a" else 37)]
+    df = spark.createDataFrame(rows, "city string, date date, tmax double")
+    got = {(x.city, x.doy, x.percent): x.threshold for x in thresholds.thresholds(df, {"t": "tmax"}, (50.0, 95.0), mode="seasonal").collect()}
+    want = {}
+    for c in (*"ab", None):
+        for doy in range(1, 367):
+            own = sorted(v for d, t, v in rows if d == c and v is not None and min((t.timetuple().tm_yday - doy) % 366, (doy - t.timetuple().tm_yday) % 366) <= 7)
+            for p in (50.0, 95.0):
+                if own:
+                    h = (len(own) - 1) * p / 100
+                    want[c, doy, p] = own[int(h)] + (own[min(int(h) + 1, len(own) - 1)] - own[int(h)]) * (h - int(h))
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
