@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from swelter.functions import columns as C
 
 DURATIONS = (2, 3, 5)
+#: Days of a chunk of a series, in which runs are found first.
+CHUNK_DAYS = 3653
 
 
 def runs_of_true(df: DataFrame, flag: str, keys, date: str = "date") -> DataFrame:
@@ -23,6 +25,33 @@ def run_table(df: DataFrame, flag: str, keys, least: int = 1, date: str = "date"
     return out.where(F.col("duration") >= least).drop("run")
 
 
+def runs_in_chunks(df: DataFrame, flag: str, keys, most: dict[str, str], mean: dict[str, str], total: dict[str, str], date: str = "date", chunk_days: int | None = None) -> DataFrame:
+    """keys, start, end, duration of every maximal run of days where flag is true, with maxima, means and sums of columns over its days (name -> column).
+
+    A series is cut into chunks of chunk_days, and runs are found and summed up within each. Only runs that touch a chunk's first
+    or last day can go on in a neighbour: those, at most two a chunk, are put together where one begins on the day after another's end. So no
+    task needs a whole series, and new days touch the last chunk and its seam."""
+    days, keys = chunk_days or CHUNK_DAYS, list(keys)
+    true = df.where(F.coalesce(F.col(flag), F.lit(False))).withColumn("__chunk", F.floor(F.unix_date(date) / days))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(date))
+    sums = {f"__s_{n}": c for n, c in (mean | total).items()}
+    part = true.withColumn("__run", F.unix_date(date) - rank).groupBy(*keys, "__chunk", "__run").agg(
+        F.min(date).alias("start"), F.max(date).alias("end"), F.count(F.lit(1)).alias("duration"), *[F.max(c).alias(n) for n, c in most.items()],
+        *[F.sum(c).alias(n) for n, c in sums.items()], *[F.count(c).alias(f"__n_{n}") for n, c in mean.items()],
+    )
+    first = F.col("__chunk") * days
+    edge = (F.unix_date("start") == first) | (F.unix_date("end") == first + days - 1)
+    columns = ["start", "end", "duration", *most, *sums, *[f"__n_{n}" for n in mean]]
+    at_edge = Window.partitionBy(*keys).orderBy("start")
+    new = F.when(F.date_add(F.lag("end").over(at_edge), 1) == F.col("start"), 0).otherwise(1)
+    seams = part.where(edge).withColumn("__new", new).withColumn("__run", F.sum("__new").over(at_edge)).groupBy(*keys, "__run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("duration").alias("duration"), *[F.max(n).alias(n) for n in most], *[F.sum(n).alias(n) for n in [*sums, *[f"__n_{n}" for n in mean]]]
+    )
+    both = part.where(~edge).select(*keys, *columns).unionByName(seams.select(*keys, *columns))
+    means = [F.try_divide(F.col(f"__s_{n}"), F.nullif(F.col(f"__n_{n}"), F.lit(0))).alias(n) for n in mean]
+    return both.select(*keys, "start", "end", F.col("duration").cast("int").alias("duration"), *most, *means, *[F.col(f"__s_{n}").alias(n) for n in total])
+
+
 def heatwave_events(daily: DataFrame, thr: DataFrame, metrics: dict[str, str], durations=DURATIONS, keys=("city",)) -> DataFrame:
     """Events of every definition (metric, percentile, shortest duration): start, end, duration, hw_def, peaks, excess,
     degree days, mean humidity and precipitation. Runs are found once per metric and percentile; the shortest
@@ -32,13 +61,12 @@ def heatwave_events(daily: DataFrame, thr: DataFrame, metrics: dict[str, str], d
     days = daily.select(*keys, "date", "tmax_daily", "apparent_temp", "humidity_mean", "precip_total", values.alias("values"), *([F.dayofyear("date").alias("doy")] if "doy" in on else []))
     days = days.join(thr, on).withColumn("value", F.try_element_at("values", F.col("metric")))
     days = days.withColumn("over", C.is_over(F.col("value"), F.col("threshold"))).withColumn("excess", F.col("value") - F.col("threshold"))
-    found = runs_of_true(days, "over", [*keys, "metric", "percent"]).groupBy(*keys, "metric", "percent", "run").agg(
-        F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).cast("int").alias("duration"),
-        F.max("tmax_daily").alias("peak_temp"), F.max("apparent_temp").alias("peak_apparent"), F.avg("excess").alias("mean_excess"),
-        F.sum("excess").alias("degree_days"), F.avg("humidity_mean").alias("mean_humidity"), F.avg("precip_total").alias("mean_precip"),
+    found = runs_in_chunks(
+        days, "over", [*keys, "metric", "percent"], {"peak_temp": "tmax_daily", "peak_apparent": "apparent_temp"},
+        {"mean_excess": "excess", "mean_humidity": "humidity_mean", "mean_precip": "precip_total"}, {"degree_days": "excess"},
     )
     found = found.withColumn("days", F.explode(F.array(*map(F.lit, durations)))).where(F.col("duration") >= F.col("days"))
-    return found.withColumn("hw_def", C.hw_label(F.col("metric"), F.col("percent"), F.col("days"))).drop("run", "metric", "percent", "days")
+    return found.withColumn("hw_def", C.hw_label(F.col("metric"), F.col("percent"), F.col("days"))).drop("metric", "percent", "days")
 
 
 def hw_definitions(spark, metrics=("tmax", "apparent"), percents=(90.0, 92.5, 95.0), durations=DURATIONS) -> DataFrame:
