@@ -38,7 +38,7 @@ HASHES, TUPLE, SHORT, SHORT_HASHES = 64, 8, 24, 16
 #: Leaders a bucket in the first leader round, about; further rounds have twice as many, up to the second number.
 LEADERS, MOST_LEADERS = 64, 256
 #: Longs of a text's parity bits.
-PARITY = 8
+PARITY = 16
 #: Hashes of shingles that are made at a time.
 HASHED = 500_000
 #: Pairs of one node that are aligned together; a node with more has its words dealt to several tasks.
