@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swelter.functions import columns as C
-from swelter.operators import analytical, clean, events, features, index, pca, thresholds, trend
+from swelter.operators import analytical, clean, events, features, pca, thresholds, trend
 from swelter.plans import adapters as A
 from swelter.plans import models as M
 from swelter.plans import registry as R
