@@ -39,6 +39,10 @@ def moments(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> Da
     return data.mapInPandas(run, ", ".join(fields)).groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxy").alias("sxy"))
 
 
+class ConstantColumn(ValueError):
+    """A column without variance, of which there is no correlation."""
+
+
 def correlation_components(n: int, sums, products):
     """Eigenvalues (falling), eigenvectors (columns), means and deviations of the correlation matrix. Each vector's
     largest entry is positive, which fixes the sign."""
@@ -48,7 +52,7 @@ def correlation_components(n: int, sums, products):
     cov = (products - n * np.outer(mean, mean)) / (n - 1)
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     if (sd <= 0).any():
-        raise ValueError("a constant column has no correlation")
+        raise ConstantColumn("a constant column has no correlation")
     values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
     values, vectors = values[::-1], vectors[:, ::-1]
     signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(sd))])
@@ -57,28 +61,35 @@ def correlation_components(n: int, sums, products):
 
 def fit_pca(df: DataFrame, columns: list[str]):
     """loadings (variable, component, loading, eigenvalue, share, cumulative), and the model that pca_scores takes. Only
-    the k x k moments reach the driver."""
+    the k x k moments reach the driver. Without a correlation matrix (fewer than two complete rows, or a column that is
+    constant over them) there are no components: all their values and scores are null."""
     import numpy as np
 
     k = len(columns)
     rows = moments(df, columns).collect()  # k * k rows
+    schema = "variable string, component int, loading double, eigenvalue double, share double, cumulative double"
+    nothing = df.sparkSession.createDataFrame([(c, j + 1, *[None] * 4) for j in range(k) for c in columns], schema), (columns, None, None, None)
     if not rows or rows[0]["n"] < 2:
-        raise ValueError("too few complete rows")
+        return nothing
     sums, products = np.zeros(k), np.zeros((k, k))
     for r in rows:
         sums[r["i"]], products[r["i"], r["j"]] = r["sx"], r["sxy"]
-    values, vectors, mean, sd = correlation_components(rows[0]["n"], sums, products)
+    try:
+        values, vectors, mean, sd = correlation_components(rows[0]["n"], sums, products)
+    except ConstantColumn:
+        return nothing
     share = values / values.sum()
     table = [
         (c, j + 1, float(vectors[i, j]), float(values[j]), float(share[j]), float(share[: j + 1].sum())) for j in range(k) for i, c in enumerate(columns)
     ]
-    schema = "variable string, component int, loading double, eigenvalue double, share double, cumulative double"
     return df.sparkSession.createDataFrame(table, schema), (columns, vectors, mean, sd)
 
 
 def pca_scores(df: DataFrame, model, n_components: int | None = None) -> DataFrame:
     """df's complete rows with PC1..PCn, as column expressions."""
     columns, vectors, mean, sd = model
+    if vectors is None:
+        return df.dropna(subset=columns).withColumns({f"PC{j + 1}": F.lit(None).cast("double") for j in range(n_components or len(columns))})
     z = [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(columns, mean, sd)]
     pc = {f"PC{j + 1}": sum((z[i] * float(vectors[i, j]) for i in range(1, len(z))), z[0] * float(vectors[0, j])) for j in range(n_components or len(columns))}
     return df.dropna(subset=columns).withColumns(pc)
@@ -86,7 +97,7 @@ def pca_scores(df: DataFrame, model, n_components: int | None = None) -> DataFra
 
 def orient(scores: DataFrame, loadings: DataFrame, anchors: dict[str, tuple[int, str]]) -> DataFrame:
     """Named components: name -> (component, anchor variable), signed so that the anchor's loading is positive."""
-    signs = {(r["component"], r["variable"]): (1.0 if r["loading"] >= 0 else -1.0) for r in loadings.where(F.col("component").isin([c for c, _ in anchors.values()])).collect()}
+    signs = {(r["component"], r["variable"]): (1.0 if r["loading"] is None or r["loading"] >= 0 else -1.0) for r in loadings.where(F.col("component").isin([c for c, _ in anchors.values()])).collect()}
     return scores.withColumns({name: F.col(f"PC{c}") * signs[c, v] for name, (c, v) in anchors.items()})
 
 

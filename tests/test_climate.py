@@ -508,3 +508,33 @@ def test_seasonal_thresholds_slide_round_the_year(spark):
                     h = (len(own) - 1) * p / 100
                     want[c, doy, p] = own[int(h)] + (own[min(int(h) + 1, len(own) - 1)] - own[int(h)]) * (h - int(h))
     assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_without_a_correlation_matrix_the_components_are_null(spark):
+    """No complete row, one row, and a column that is constant over all of them."""
+    from swelter.operators import pca
+
+    for rows in ([(1.0, None), (None, 2.0)], [(1.0, 2.0)], [(1.0, 2.0), (3.0, 2.0), (4.0, 2.0)]):
+        df = spark.createDataFrame(rows, "x double, y double")
+        loadings, model = pca.fit_pca(df, ["x", "y"])
+        assert sorted((r.variable, r.component, r.loading, r.share) for r in loadings.collect()) == [(v, k, None, None) for v in "xy" for k in (1, 2)]
+        scores = pca.orient(pca.pca_scores(df, model, 2), loadings, {"up": (1, "y")}).collect()
+        assert [(r.PC2, r.up) for r in scores] == [(None, None)] * df.dropna().count()
+        assert sorted(map(tuple, pca.component_correlations(loadings).collect())) == [("x", None, None), ("y", None, None)]
+
+
+def test_component_queries_where_a_measure_is_the_same_on_all_days(spark, tmp_path):
+    """Its z-score is null, so no row is complete: with many readings a day, the least humidity is that of the smallest reading each day."""
+    import os
+
+    from swelter.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    for name in os.listdir(d):
+        os.symlink(f"{d}/{name}", tmp_path / name)
+    (tmp_path / "lineitem.parquet").unlink()
+    spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("* EXCEPT (l_quantity)", "7D AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {q: registry.QUERIES[q](spark, str(tmp_path)).collect() for q in ("labelled_loadings", "component_circle", "joint_pca_check", "component_years", "component_months")}
+    assert {k: len(v) for k, v in got.items()} == {"labelled_loadings": 48, "component_circle": 24, "joint_pca_check": 1, "component_years": 0, "component_months": 0}
+    assert all(r.loading is None and r.share is None and r.label for r in got["labelled_loadings"]) and all(r.x is None for r in got["component_circle"])
+    assert tuple(got["joint_pca_check"][0]) == (24, 24.0, None, 0.0, 0.0, 1.0)  # the SQL's row
