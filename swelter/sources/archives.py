@@ -1,16 +1,19 @@
 """Zip archives by their tables of contents: what lies in them, chosen members' lines, and what is damaged.
 
 A first pass looks at the end of each archive only, where its table of contents is, and gives a row for each member. What to read is chosen
-from these rows. A second pass cuts the chosen members out of their archives, still packed, and deals them to tasks: a member is
-unpacked in a task of its own, however many lie in one archive, and those that nobody chose are never unpacked. A member counts only if its size and
+from these rows. A second pass cuts the chosen members out of their archives, still packed and in small pieces, and deals them to tasks: a member is
+unpacked in one task, piece by piece, however many lie in one archive, and those that nobody chose are never unpacked. A member counts only if its size and
 checksum are right; otherwise, and for archives without a table of contents, there is a row that says so.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,12 @@ from swelter.sources import shared
 TAIL = 1 << 20
 #: Lines that leave a task together.
 LINES = 20_000
+#: Bytes of a piece of a member: Spark hands 10,000 rows at a time to Python.
+PIECE = 1 << 13
+#: Bytes of a packed member that a task holds in memory; what is beyond goes to a file of the task.
+HELD = 1 << 24
+#: Bytes that are read or unpacked at once.
+STEP = 1 << 16
 _CONTENTS = "archive string, name string, start long, span long, packed long, size long, crc long, method int, encrypted boolean, damage string"
 _LINES = "archive string, name string, line_no int, line string, damage string"
 
@@ -75,24 +84,29 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return first.where("NOT short").unionByName(whole).drop("short")
 
 
-def unpacked(member: bytes, packed: int, method: int) -> Iterator[bytes]:
-    """The bytes of a member (local header first) in parts."""
-    if member[:4] != b"PK\x03\x04":
+def unpacked(member: BinaryIO, packed: int, method: int) -> Iterator[bytes]:
+    """The bytes of a member (a file, local header first) in parts of bounded size."""
+    member.seek(0)
+    head = member.read(30)
+    if head[:4] != b"PK\x03\x04":
         raise ValueError("no local header")
-    lo = 30 + sum(struct.unpack("<HH", member[26:30]))
-    data = memoryview(member)[lo : lo + packed]
-    if method == 0:
-        yield bytes(data)
-    elif method == 8:
-        z = zlib.decompressobj(-15)
-        for k in range(0, len(data), 1 << 18):
-            yield z.decompress(data[k : k + (1 << 18)])
-        yield z.flush()
-    else:
+    member.seek(30 + sum(struct.unpack("<HH", head[26:30])))
+    if method not in (0, 8):
         raise ValueError(f"method {method} isn't supported")
+    z, left = zlib.decompressobj(-15) if method == 8 else None, packed
+    while left > 0 and (data := member.read(min(STEP, left))):
+        left -= len(data)
+        if z is None:
+            yield data
+            continue
+        while data and not z.eof:
+            yield z.decompress(data, STEP)
+            data = z.unconsumed_tail
+    if z is not None:
+        yield z.flush()
 
 
-def member_fault(member: bytes, packed: int, size: int, crc: int, method: int, encrypted: bool) -> str | None:
+def member_fault(member: BinaryIO, packed: int, size: int, crc: int, method: int, encrypted: bool) -> str | None:
     """Why a member's bytes can't be taken, or None."""
     if encrypted:
         return "encrypted"
@@ -121,21 +135,27 @@ def member_lines(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame
     fields = ["name", "start", "span", "packed", "size", "crc", "method", "encrypted"]
     by_archive = chosen.where("damage IS NULL").groupBy("archive").agg(F.collect_set(F.struct(*fields)).alias("members"))
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
-    cut = F.expr("transform(members, m -> struct(m AS told, substring(content, CAST(m.start + 1 AS INT), CAST(m.span AS INT)) AS bytes))")
-    slices = files.join(shared.small(by_archive), "archive").select("archive", F.explode(cut).alias("m")).select("archive", "m.told.*", "m.bytes")
+    told = files.join(shared.small(by_archive), "archive").select("archive", "content", F.explode("members").alias("m"))
+    pieces = told.select("archive", "content", "m", F.explode(F.expr(f"sequence(0L, greatest(m.span - 1, 0L) div {PIECE})")).alias("piece"))
+    cut = F.expr(f"substring(content, CAST(m.start + piece * {PIECE} + 1 AS INT), CAST(least({PIECE}L, m.span - piece * {PIECE}) AS INT))")
+    slices = pieces.select("archive", "m.*", "piece", cut.alias("bytes"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         columns = [c.split()[0] for c in _LINES.split(", ")]
-        for pdf in batches:
-            for r in pdf.itertuples():
-                wrong = member_fault(r.bytes, r.packed, r.size, r.crc, r.method, r.encrypted)
+        rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+        # a member's pieces follow each other
+        for _, own in itertools.groupby(rows, lambda r: (r.archive, r.name, r.start)):
+            with tempfile.SpooledTemporaryFile(HELD) as member:
+                for r in own:
+                    member.write(r.bytes)
+                wrong = member_fault(member, r.packed, r.size, r.crc, r.method, r.encrypted)
                 if wrong:
                     yield pd.DataFrame([(r.archive, r.name, None, None, wrong)], columns=columns).astype({"line_no": "Int32"})
                     continue
                 held = []
-                for k, line in enumerate(_text_lines(unpacked(r.bytes, r.packed, r.method))):
+                for k, line in enumerate(_text_lines(unpacked(member, r.packed, r.method))):
                     held.append((r.archive, r.name, k, line, None))
                     if len(held) == LINES:
                         yield pd.DataFrame(held, columns=columns)
@@ -143,7 +163,7 @@ def member_lines(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame
                 if held:
                     yield pd.DataFrame(held, columns=columns)
 
-    dealt = slices.repartition("archive", "name") if spark.sparkContext.defaultParallelism > 1 else slices
+    dealt = slices.repartition("archive", "name").sortWithinPartitions("archive", "name", "start", "piece")
     return dealt.mapInPandas(run, _LINES)
 
 

@@ -100,3 +100,54 @@ def test_more_years_than_the_plan_takes_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(stations, "MOST_YEARS", 4)
     with pytest.raises(ValueError):
         stations.check_station_years(found, known, years)
+
+
+def test_a_member_in_many_pieces(spark, tmp_path, known, monkeypatch):
+    """Tasks get pieces of bounded size, in order, and give the same lines and damage; stored and deflated members larger than what is held in memory."""
+    from swelter.sources import archives
+
+    for name, v in (("PIECE", 100), ("HELD", 500), ("STEP", 64)):
+        monkeypatch.setattr(archives, name, v)
+    text = "\n".join(f"{k};{k * k % 977}" for k in range(3000))
+    bad = bytearray(packed([("X_B901_A_31-12-2021.CSV", text)]))
+    bad[3000] ^= 0xFF
+    path = put(tmp_path, a=packed([(PART, "no"), (FULL, text)]), b=packed([("X_B901_A_31-12-2020.CSV", text)], zipfile.ZIP_STORED), c=bytes(bad))
+    got, damage = lines_of(spark, path, known)
+    want = list(enumerate(text.split("\n")))
+    assert [x[2:] for x in got if x[0] == "s"] == want and [x[2:] for x in got if x[0] == "t"] == want
+    assert [x[:2] for x in damage] == [("c.zip", "X_B901_A_31-12-2021.CSV")]
+
+
+def test_unpacking_takes_bounded_parts():
+    from swelter.sources import archives
+
+    data = packed([("x", b"\0" * 50_000_000)])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        size = z.infolist()[0].compress_size
+    parts = [len(p) for p in archives.unpacked(io.BytesIO(data), size, 8)]
+    assert sum(parts) == 50_000_000 and max(parts) <= archives.STEP
+
+
+def test_packing_streams():
+    """Rows of an archive leave long before its last line comes, and make a whole archive."""
+    import random
+
+    from swelter.plans import files
+
+    r = random.Random(1)
+    lines, taken = [f"{r.random()}" for _ in range(400_000)], [0]
+
+    def come():
+        for x in lines:
+            taken[0] += 1
+            yield x
+
+    made, at_first = [], None
+    for row in files._packed(7, "A", 2000, come(), False):
+        at_first = at_first or taken[0]
+        made.append(row)
+    assert at_first < 300_000 and [x[1] for x in made] == list(range(len(made)))
+    with zipfile.ZipFile(io.BytesIO(b"\n".join(x[2] for x in made) + b"\n")) as z:
+        assert z.testzip() is None
+        part, full = (z.read(x).decode("latin-1").split("\r\n") for x in z.namelist())
+    assert part == [*files._HEAD, *lines[:9]] and full == [*files._HEAD, *lines]
