@@ -110,10 +110,15 @@ def exposure_scaffold(windows: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def exposure_components(windows: DataFrame, daily: DataFrame, events: DataFrame, definitions: DataFrame, keys=("city",)) -> DataFrame:
     """All exposure metrics per person, window and definition. Windows that are no proper span have null metrics; proper
-    ones without an event have count and days 0 and null metrics."""
+    ones without an event have count and days 0 and null metrics. A span's metrics are joined as one map by definition, so persons' windows
+    are shuffled before they are repeated for each definition, never after."""
     on = [*keys, *SPAN]
-    out = exposure_scaffold(windows, definitions).join(window_climate(windows, daily, keys), on, "left")
-    out = out.join(event_ranges.window_event_metrics(windows, daily, events, keys), [*on, "hw_def"], "left")
+    metrics = event_ranges.window_event_metrics(windows, daily, events, keys)
+    names = [c for c in metrics.columns if c not in (*on, "hw_def")]
+    held = metrics.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("hw_def", F.struct(*names)))).alias("__metrics"))
+    out = windows.join(window_climate(windows, daily, keys), on, "left").join(held, on, "left")
+    out = exposure_scaffold(out, definitions).withColumn("__own", F.try_element_at("__metrics", F.col("hw_def")))
+    out = out.withColumns({c: F.col(f"__own.{c}") for c in names}).drop("__metrics", "__own")
     proper = F.col("window_end").isNotNull() & F.col("window_start").isNotNull() & (F.col("window_end") >= F.col("window_start"))
     zero = {c: F.when(proper, F.coalesce(F.col(c), F.lit(0))) for c in ("hw_count", "hw_total_days")}
     return out.withColumns(zero)

@@ -538,3 +538,15 @@ def test_component_queries_where_a_measure_is_the_same_on_all_days(spark, tmp_pa
     assert {k: len(v) for k, v in got.items()} == {"labelled_loadings": 48, "component_circle": 24, "joint_pca_check": 1, "component_years": 0, "component_months": 0}
     assert all(r.loading is None and r.share is None and r.label for r in got["labelled_loadings"]) and all(r.x is None for r in got["component_circle"])
     assert tuple(got["joint_pca_check"][0]) == (24, 24.0, None, 0.0, 0.0, 1.0)  # the SQL's row
+
+
+def test_definitions_are_repeated_after_the_joins(spark):
+    """No join shuffles a row for each window and definition: the repetition is above every join of windows."""
+    from swelter.operators import events, exposure, thresholds
+
+    daily = _climate(spark)
+    daily = thresholds.exceedance(daily, thresholds.thresholds(daily, {"tmax": "tmax_daily"}), "tmax", "tmax_daily")
+    ev = spark.createDataFrame([("a", day(10), day(19), 10, "tmax_p90_d3", 2.0, 20.0, 60.0)], "city string, start date, end date, duration int, hw_def string, mean_excess double, degree_days double, mean_humidity double")
+    w = spark.createDataFrame([(1, "a", day(12), day(14)), (1, "a", day(30), day(40))], "ext_genid long, city string, window_start date, window_end date")
+    plan = exposure.exposure_components(w, daily, ev, events.hw_definitions(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
