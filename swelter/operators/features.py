@@ -56,9 +56,11 @@ def monthly_features(daily: DataFrame, keys=("city",)) -> DataFrame:
 
 
 def zscore_within(df: DataFrame, columns: list[str], keys=("city",), raw: str | None = None) -> DataFrame:
-    """columns standardised by the group's mean and sample deviation; null where the deviation is 0. With raw, a suffix, the
-    columns as they were stand beside them."""
-    stats = df.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    """columns standardised by the group's mean and sample deviation; null where the deviation is 0, that is where least and
+    largest are equal (merged deviations of a constant may miss 0 by rounding). With raw, a suffix, the columns as they were
+    stand beside them."""
+    spread = lambda c: F.when(F.min(c) < F.max(c), F.stddev_samp(c))
+    stats = df.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", spread))])
     out = df.join(stats, list(keys))
     z = {c: F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.nullif(F.col(f"__s_{c}"), F.lit(0.0))) for c in columns}
     if raw:

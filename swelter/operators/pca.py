@@ -11,7 +11,7 @@ from swelter.sources import shared
 
 
 def moments(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, i, j, n, sx (sum of column i), sxy (sum of the products of columns i and j) over complete rows.
+    """keys, i, j, n, sx (sum of column i), sxy (sum of the products of columns i and j), lo and hi (least and largest of column i) over complete rows.
 
     Each task adds up its rows' cross products in numpy and emits one k x k block a key; a grouped sum adds the blocks.
     Give it standardised columns, so that nothing cancels."""
@@ -27,16 +27,19 @@ def moments(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> Da
             groups = pdf.groupby(list(keys), dropna=False, sort=False) if keys else [((), pdf)]
             for key, g in groups:
                 x = g[columns].to_numpy(float)
-                n, s, p = held.get(key, (0, np.zeros(k), np.zeros((k, k))))
-                held[key] = (n + len(x), s + x.sum(0), p + x.T @ x)
-        for key, (n, s, p) in held.items():
+                if not len(x):
+                    continue
+                n, s, p, lo, hi = held.get(key, (0, np.zeros(k), np.zeros((k, k)), np.full(k, np.inf), np.full(k, -np.inf)))
+                held[key] = (n + len(x), s + x.sum(0), p + x.T @ x, np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0)))
+        for key, (n, s, p, lo, hi) in held.items():
             yield pd.DataFrame({
                 **{name: [v] * (k * k) for name, v in zip(keys, key if isinstance(key, tuple) else (key,))},
-                "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "n": n, "sx": np.repeat(s, k), "sxy": p.ravel(),
+                "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "n": n, "sx": np.repeat(s, k), "sxy": p.ravel(), "lo": np.repeat(lo, k), "hi": np.repeat(hi, k),
             })
 
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys] + ["i int", "j int", "n long", "sx double", "sxy double"]
-    return data.mapInPandas(run, ", ".join(fields)).groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sxy").alias("sxy"))
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys] + ["i int", "j int", "n long", "sx double", "sxy double", "lo double", "hi double"]
+    added = [F.sum(c).alias(c) for c in ("n", "sx", "sxy")]
+    return data.mapInPandas(run, ", ".join(fields)).groupBy(*keys, "i", "j").agg(*added, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 class ConstantColumn(ValueError):
@@ -69,7 +72,8 @@ def fit_pca(df: DataFrame, columns: list[str]):
     rows = moments(df, columns).collect()  # k * k rows
     schema = "variable string, component int, loading double, eigenvalue double, share double, cumulative double"
     nothing = df.sparkSession.createDataFrame([(c, j + 1, *[None] * 4) for j in range(k) for c in columns], schema), (columns, None, None, None)
-    if not rows or rows[0]["n"] < 2:
+    # sums of a constant may not cancel to the last bit, so its ends tell
+    if not rows or rows[0]["n"] < 2 or any(r["lo"] == r["hi"] for r in rows):
         return nothing
     sums, products = np.zeros(k), np.zeros((k, k))
     for r in rows:

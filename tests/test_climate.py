@@ -550,3 +550,15 @@ def test_definitions_are_repeated_after_the_joins(spark):
     w = spark.createDataFrame([(1, "a", day(12), day(14)), (1, "a", day(30), day(40))], "ext_genid long, city string, window_start date, window_end date")
     plan = exposure.exposure_components(w, daily, ev, events.hw_definitions(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_a_constant_has_no_z_score_and_no_components_however_its_rows_are_dealt(spark):
+    """Deviations merged over tasks miss 0 by rounding (1 over 3 tasks, 13.7 over 51), which gave z-scores and components made of it."""
+    from swelter.operators import features, pca
+
+    for value, tasks in ((1.0, 3), (13.7, 51)):
+        df = spark.range(7497, numPartitions=tasks).selectExpr("id % 3 AS city", f"IF(id >= 0, {value}D, NULL) AS h", "CAST(id * 7919 % 7497 AS DOUBLE) AS x")
+        z = features.zscore_within(df, ["h", "x"])
+        assert z.where("h IS NOT NULL OR x IS NULL").count() == 0
+        loadings, model = pca.fit_pca(df, ["h", "x"])
+        assert {(r.loading, r.eigenvalue) for r in loadings.collect()} == {(None, None)} and model[1] is None
