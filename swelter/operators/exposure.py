@@ -108,17 +108,23 @@ def exposure_scaffold(windows: DataFrame, definitions: DataFrame) -> DataFrame:
     return windows.withColumn("hw_def", F.explode(F.array(*map(F.lit, names))))
 
 
-def exposure_components(windows: DataFrame, daily: DataFrame, events: DataFrame, definitions: DataFrame, keys=("city",)) -> DataFrame:
+def exposure_components(windows: DataFrame, daily: DataFrame, events: DataFrame, definitions: DataFrame, keys=("city",), metrics: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """All exposure metrics per person, window and definition. Windows that are no proper span have null metrics; proper
     ones without an event have count and days 0 and null metrics. A span's metrics are joined as one map by definition, so persons' windows
-    are shuffled before they are repeated for each definition, never after."""
+    are shuffled before they are repeated for each definition, never after. metrics: only these of the heat waves, without the general
+    climate. digits: the metrics' doubles are rounded, once for each span rather than for each person and definition."""
     on = [*keys, *SPAN]
-    metrics = event_ranges.window_event_metrics(windows, daily, events, keys)
-    names = [c for c in metrics.columns if c not in (*on, "hw_def")]
-    held = metrics.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("hw_def", F.struct(*names)))).alias("__metrics"))
-    out = windows.join(window_climate(windows, daily, keys), on, "left").join(held, on, "left")
+    found = event_ranges.window_event_metrics(windows, daily, events, keys, deficit=metrics is None or "precip_deficit" in metrics)
+    names = metrics or [c for c in found.columns if c not in (*on, "hw_def")]
+    told = lambda df, c: (F.round(c, digits) + F.lit(0.0)).alias(c) if digits is not None and df.schema[c].dataType.simpleString() == "double" else F.col(c)
+    held = found.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("hw_def", F.struct(*[told(found, c) for c in names])))).alias("__metrics"))
+    out = windows
+    if metrics is None:
+        climate = window_climate(windows, daily, keys)
+        out = out.join(climate.select(*[c if c in on else told(climate, c) for c in climate.columns]), on, "left")
+    out = out.join(held, on, "left")
     out = exposure_scaffold(out, definitions).withColumn("__own", F.try_element_at("__metrics", F.col("hw_def")))
     out = out.withColumns({c: F.col(f"__own.{c}") for c in names}).drop("__metrics", "__own")
     proper = F.col("window_end").isNotNull() & F.col("window_start").isNotNull() & (F.col("window_end") >= F.col("window_start"))
-    zero = {c: F.when(proper, F.coalesce(F.col(c), F.lit(0))) for c in ("hw_count", "hw_total_days")}
+    zero = {c: F.when(proper, F.coalesce(F.col(c), F.lit(0))) for c in ("hw_count", "hw_total_days") if c in names}
     return out.withColumns(zero)

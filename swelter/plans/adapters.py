@@ -68,9 +68,9 @@ def windows(spark, sf_dir) -> DataFrame:
     return cohort.developmental_windows(births(spark, sf_dir), MONTH_WINDOWS, unit="month")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded (and -0 made 0), whole numbers as longs."""
+def rounded(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Doubles rounded (and -0 made 0), or as they are without digits, whole numbers as longs."""
     kinds = dict(df.dtypes)
     return df.select(*[
-        (F.round(c, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns
+        (F.round(c, digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" and digits is not None else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c) for c in df.columns
     ])

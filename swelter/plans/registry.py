@@ -102,9 +102,9 @@ def _select(spec: str, source: str, ctes: str, where: str = "") -> str:
     return f"WITH {ctes} SELECT {', '.join(out)} FROM {source} {where}"
 
 
-def _query(name: str, sql: str | None = None):
+def _query(name: str, sql: str | None = None, digits: int | None = 6):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: A.rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: A.rounded(f(spark, sf_dir), digits)
         QUERIES[name].__doc__ = f.__doc__
         if sql:
             SQL[name] = sql
@@ -130,11 +130,14 @@ def _featured(spark, d) -> DataFrame:
     return events.flag_event_days(_exceeding(spark, d), _events(spark, d).where("hw_def = 'tmax_p90_d2'"))
 
 
-def _components(spark, d) -> DataFrame:
+def _components(spark, d, metrics: list[str] | None = None, digits: int | None = None) -> DataFrame:
     # climate, events, deficit and coverage all read the daily series, so it and the events are made once
     daily = shared.written(_exceeding(spark, d), "daily")
     found = shared.written(events.heatwave_events(daily, thresholds.thresholds(daily, _METRICS), _METRICS), "events")
-    return exposure.exposure_components(cohort.coverage_frac(A.windows(spark, d), daily), daily, found, events.hw_definitions(spark))
+    windows = cohort.coverage_frac(A.windows(spark, d), daily)
+    if digits is not None:
+        windows = windows.withColumn("coverage_frac", F.round("coverage_frac", digits) + F.lit(0.0))
+    return exposure.exposure_components(windows, daily, found, events.hw_definitions(spark), metrics=metrics, digits=digits)
 
 
 def flagship(spark, d) -> DataFrame:
@@ -369,10 +372,10 @@ def _deficit(spark, d):
     return found.select("city", "window_start", "window_end", "hw_def", "precip_deficit")
 
 
-@_query("exposure_components", _select("ext_genid:i window hw_def coverage_frac:d hw_count:i hw_total_days:i hw_mean_excess:d hw_max_excess:d hw_mean_duration:d hw_degree_days:d hw_mean_humidity:d hw_apparent_excess:d precip_deficit:d mean_tmax:d mean_tmean:d days_above_p90:i mean_humidity:d total_precip:d tmax_sd:d", "comp", f"{_E}, {_WIN}, {_COMP}"))
+@_query("exposure_components", _select("ext_genid:i window hw_def coverage_frac:d hw_count:i hw_total_days:i hw_mean_excess:d hw_max_excess:d hw_mean_duration:d hw_degree_days:d hw_mean_humidity:d hw_apparent_excess:d precip_deficit:d mean_tmax:d mean_tmean:d days_above_p90:i mean_humidity:d total_precip:d tmax_sd:d", "comp", f"{_E}, {_WIN}, {_COMP}"), digits=None)
 def _comps(spark, d):
-    """Person by window by definition, windows without events included."""
-    c = _components(spark, d)
+    """Person by window by definition, windows without events included. Values are rounded before they are repeated."""
+    c = _components(spark, d, digits=6)
     return c.select("ext_genid", "window", "hw_def", "coverage_frac", "hw_count", "hw_total_days", "hw_mean_excess", "hw_max_excess", "hw_mean_duration", "hw_degree_days", "hw_mean_humidity", "hw_apparent_excess", "precip_deficit", "mean_tmax", "mean_tmean", "days_above_p90", "mean_humidity", "total_precip", "tmax_sd")
 
 

@@ -562,3 +562,11 @@ def test_a_constant_has_no_z_score_and_no_components_however_its_rows_are_dealt(
         assert z.where("h IS NOT NULL OR x IS NULL").count() == 0
         loadings, model = pca.fit_pca(df, ["h", "x"])
         assert {(r.loading, r.eigenvalue) for r in loadings.collect()} == {(None, None)} and model[1] is None
+
+
+def test_exposure_values_are_rounded_before_they_are_repeated_for_each_definition(spark):
+    from swelter.plans import registry
+
+    plan = registry.QUERIES["exposure_components"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "round(" not in above and "round(" in below
