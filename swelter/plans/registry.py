@@ -140,6 +140,12 @@ def _components(spark, d, metrics: list[str] | None = None, digits: int | None =
     return exposure.exposure_components(windows, daily, found, events.hw_definitions(spark), metrics=metrics, digits=digits)
 
 
+def _index_components(spark, d) -> DataFrame:
+    """What the index reads, written: its columns of the rows that it covers, which are chosen before windows are repeated for each definition."""
+    rows = index.covered(_components(spark, d, index.METRICS))
+    return shared.written(rows.select("ext_genid", *index.GROUP, "coverage_frac", *index.METRICS), "components")
+
+
 def flagship(spark, d) -> DataFrame:
     """Readings to events under the tmax, 90th percentile, two-day definition."""
     return _events(spark, d).where("hw_def = 'tmax_p90_d2'")
@@ -391,17 +397,17 @@ def _count_report(spark, d):
 
 @_query("index_zmean", f"WITH {_E}, {_WIN}, {_COMP}, {_ZIN} SELECT ext_genid, \"window\", hw_def, round(({' + '.join('z_' + m for m in index.METRICS)}) / 6, 6) + 0.0 AS csei_zsum FROM zs")
 def _zmean(spark, d):
-    return index.zmean(index.index_inputs(shared.written(_components(spark, d), "components"))).select("ext_genid", "window", "hw_def", "csei_zsum")
+    return index.zmean(index.index_inputs(_index_components(spark, d))).select("ext_genid", "window", "hw_def", "csei_zsum")
 
 
 @_query("index_pca")
 def _index(spark, d):
-    return index.build_index(shared.written(_components(spark, d), "components"))[0]
+    return index.build_index(_index_components(spark, d))[0]
 
 
 @_query("index_loadings")
 def _loadings(spark, d):
-    return index.build_index(shared.written(_components(spark, d), "components"))[1]
+    return index.build_index(_index_components(spark, d))[1]
 
 
 @_query("spearman_by_group", "WITH " + _D + ", k AS (SELECT city, rank() OVER (PARTITION BY city ORDER BY round(tmax_daily, 3)) + (count(*) OVER (PARTITION BY city, round(tmax_daily, 3)) - 1) / 2 AS a, rank() OVER (PARTITION BY city ORDER BY precip_total) + (count(*) OVER (PARTITION BY city, precip_total) - 1) / 2 AS b "

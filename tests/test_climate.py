@@ -570,3 +570,25 @@ def test_exposure_values_are_rounded_before_they_are_repeated_for_each_definitio
     plan = registry.QUERIES["exposure_components"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate explode", 1)
     assert "round(" not in above and "round(" in below
+
+
+def test_index_reads_only_covered_rows_and_its_own_columns(spark):
+    from swelter.operators import index
+    from swelter.plans import registry
+
+    rows = registry._index_components(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["ext_genid", *index.GROUP, "coverage_frac", *index.METRICS]
+    assert rows.where("window = '0_5' OR coverage_frac < 0.5").count() == 0 < rows.count()
+
+
+def test_equal_pairs_are_ranked_once_by_weight(spark):
+    from swelter.operators import index
+
+    pairs = [("g", float(k * k % 7), float(k % 5), k % 4 + 1) for k in range(35)] + [("tied", 2.0, float(k), 3) for k in range(4)]
+    once = spark.createDataFrame(pairs, "g string, x double, y double, w long")
+    each = once.selectExpr("g", "x", "y", "explode(sequence(1, w)) AS k").drop("k")
+    weighted = index.average_ranks(once, ["x", "y"], ["rx", "ry"], ["g"], "w").select("g", "x", "y", "rx", "ry").distinct()
+    assert sorted(map(tuple, weighted.collect())) == sorted(map(tuple, index.average_ranks(each, ["x", "y"], ["rx", "ry"], ["g"]).distinct().collect()))
+    got = {r.g: (r.spearman, r.n) for r in index.spearman_by_group(each, "x", "y", ("g",)).collect()}
+    pdf = each.where("g = 'g'").toPandas()
+    assert abs(got["g"][0] - pdf["x"].rank().corr(pdf["y"].rank())) < 1e-12 and got["g"][1] == len(pdf) and got["tied"] == (None, 12)
