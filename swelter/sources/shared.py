@@ -51,10 +51,10 @@ def remove(spark: SparkSession, since: int = 0) -> None:
     del _folders[since:]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, for what several branches of a plan read."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a Parquet table, for what several branches of a plan read. options: the writer's."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

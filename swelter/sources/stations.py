@@ -53,8 +53,9 @@ def check_station_years(found: DataFrame, stations: DataFrame, years: DataFrame)
 
 def read_archives(spark: SparkSession, path: str, member: str = "") -> DataFrame:
     """Lines of the members of zip archives whose names contain `member`: archive, name, line_no, line. What is damaged gives no line."""
-    listed = archives.contents(spark, path)
-    lines = archives.member_lines(spark, path, listed.where(F.col("name").contains(member)))
+    held = archives.pieces(spark, path)
+    listed = archives.contents(spark, path, held)
+    lines = archives.member_lines(spark, path, listed.where(F.col("name").contains(member)), held)
     return lines.where("damage IS NULL").drop("damage")
 
 
@@ -73,9 +74,10 @@ def chosen_members(listed: DataFrame, stations_: DataFrame) -> DataFrame:
 
 def archive_lines(spark: SparkSession, path: str, stations_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines of the chosen members with their city, damage of archives and chosen members)."""
-    listed = archives.contents(spark, path)
+    held = archives.pieces(spark, path)
+    listed = archives.contents(spark, path, held)
     chosen = shared.written(chosen_members(listed, stations_), "chosen-members")
-    lines = archives.member_lines(spark, path, chosen)
+    lines = archives.member_lines(spark, path, chosen, held)
     members = chosen.select("archive", "name", "city")
     with_city = lines.join(shared.small(members), ["archive", "name"])
     return with_city.where("damage IS NULL").drop("damage"), archives.damage(listed, lines)
