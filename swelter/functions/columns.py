@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Codes of a missing reading, and the form of a number.
 MISSING_CODES = ("-9999", "-9999,0")
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"[+-]?([0-9]+[.,]?[0-9]*|[.,][0-9]+)([eE][+-]?[0-9]+)?"
+PLAIN = rf"^(?!({'|'.join(MISSING_CODES)})\z){NUMBER}$"
 
 #: Physical limits of the hourly measures, bounds included; None is open.
 QC_LIMITS: dict[str, tuple[float | None, float | None]] = {
@@ -19,9 +20,9 @@ QC_LIMITS: dict[str, tuple[float | None, float | None]] = {
 
 
 def parse_comma_numeric(text: Column) -> Column:
-    """A number with a decimal comma; missing codes and whatever isn't a plain number give null."""
-    point = F.replace(text, F.lit(","), F.lit("."))
-    return F.when(~text.isin(*MISSING_CODES) & point.rlike(NUMBER), point.try_cast("double"))
+    """A number with a decimal comma; missing codes and whatever isn't a plain number give null. It is one test and one cast: files have many such columns,
+    and Java's virtual machine doesn't compile a method of over 8,000 bytes, which is what Spark makes of a projection."""
+    return F.when(text.rlike(PLAIN), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
 
 
 def parse_station_date(text: Column) -> Column:

@@ -97,8 +97,8 @@ def skipped_files(spark: SparkSession, path: str, readings: DataFrame, file_path
 
 def parse_hourly(raw: DataFrame) -> DataFrame:
     """Typed readings from text fields: rows whose first field is a date; the hour stays text."""
-    rows = raw.where(F.col("date").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$"))
-    typed = {c: C.parse_comma_numeric(F.trim(F.col(c))) for c in FIELDS[2:]}
+    rows = raw.where(F.col("date").rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}$")).withColumns({c: F.trim(F.col(c)) for c in FIELDS[2:]})
+    typed = {c: C.parse_comma_numeric(F.col(c)) for c in FIELDS[2:]}
     return rows.withColumns({"date": C.parse_station_date(F.col("date"))} | typed).where(F.col("date").isNotNull())
 
 

@@ -244,3 +244,31 @@ def test_texts_of_lines():
     got = list(archives._texts(data[k : k + 1000] for k in range(0, len(data), 1000)))
     assert [t for _, x in got for t in x.split("\n")] == lines and len(got) > 10
     assert [n for n, _ in got] == [sum(x.count("\n") + 1 for _, x in got[:k]) for k in range(len(got))]
+
+
+def test_lines_are_parsed_in_methods_that_are_compiled(spark):
+    """Java's virtual machine doesn't compile methods of more than 8,000 bytes; parsing lines was one."""
+    import re
+
+    from swelter.operators import clean
+    from swelter.sources import stations
+
+    days = clean.hourly_to_daily(clean.range_qc(stations.parse_hourly(stations.split_fields(spark.range(3).selectExpr("'s' AS city", "concat(id, ';') AS line")))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(days._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_numbers_with_a_comma_or_none(spark):
+    from pyspark.sql import functions as F
+
+    from swelter.functions.columns import parse_comma_numeric
+
+    want = {"1,5": 1.5, ",5": 0.5, "1,": 1.0, "1,5E-3": 0.0015, "-9999.0": -9999.0, "-9999,00": -9999.0, "-9999\n": -9999.0, "-99990": -99990.0}
+    none = ["-9999", "-9999,0", "1,2,3", "1.2,3", "", " 1", "1d", "NaN", "Infinity", "0x1p3", "1e", "1_0"]
+    got = spark.createDataFrame([(x,) for x in [*want, *none]], "t string").select("t", parse_comma_numeric(F.col("t")).alias("v")).collect()
+    assert {x.t: x.v for x in got} == want | dict.fromkeys(none)
